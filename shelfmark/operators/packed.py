@@ -6,17 +6,17 @@ delimiter, whether it splits. Its likelihood is the product of the value probabi
 of the split (or no-split) probabilities of the delimiter classes passed. Both are learned
 from the whole column by forward-backward passes; Viterbi then gives the likeliest path.
 
-The value frequencies live in one table of ``BUCKETS`` hashed counts. Its size is fixed, so
-the driver may hold it and broadcast it whatever the number of rows: each partition reduces
-its expected counts to at most ``BUCKETS`` rows before the shuffle.
+The value frequencies live in a count-min sketch of ``ROWS * BUCKETS`` cells. Its size is
+fixed, so the driver may hold it and broadcast it whatever the number of rows: each partition
+reduces its expected counts to at most that many cells before the shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hashed value counts; 2 MB as float64, the bound of what is broadcast and of what the driver gets.
-BUCKETS = 1 << 18
+#: Cells of the sketch of value counts; 3 MB as float64, the bound of what is broadcast and of what the driver gets.
+ROWS, BUCKETS = 3, 1 << 17
+_CELLS = ROWS * BUCKETS
 #: Delimiter classes: (characters, tight or spaced, first guess of the split probability).
 CLASSES = ("break", "bar", "semicolon", "bullet", "comma", "slash", "tight slash", "dash")
 _FIRST_SPLIT = np.array([0.95, 0.95, 0.95, 0.95, 0.9, 0.6, 0.05, 0.2])
@@ -143,7 +144,7 @@ def _normal(value: str) -> str:
 
 
 class Model:
-    """Log probabilities of values (hashed) and of a split at each delimiter class.
+    """Log probabilities of values (in a sketch) and of a split at each delimiter class.
 
     A value's probability mixes its learned frequency, less the one occurrence that is being
     explained, with a base measure that gives any segmentation of the same atoms the same
@@ -153,12 +154,12 @@ class Model:
 
     def __init__(self, counts: np.ndarray, split: np.ndarray):
         self.counts, self.split = counts, split
-        self.total = float(counts.sum())
+        self.total = float(counts[:BUCKETS].sum())
         self.log_split, self.log_join = np.log(split).tolist(), np.log1p(-split).tolist()
 
-    def arcs(self, text: str, atoms: list[tuple[int, int]], between: list[int]) -> list[list[tuple[int, int, float]]]:
-        """For each end atom: (first atom, bucket, log score) of the values that end there."""
-        out: list[list[tuple[int, int, float]]] = []
+    def arcs(self, text: str, atoms: list[tuple[int, int]], between: list[int]) -> list[list[tuple[int, tuple[int, ...], float]]]:
+        """For each end atom: (first atom, cells of the value, log score) of the values that end there."""
+        out: list[list[tuple[int, tuple[int, ...], float]]] = []
         normal = [_normal(text[a:b]) for a, b in atoms]
         for j in range(len(atoms)):
             row = []
@@ -168,11 +169,12 @@ class Model:
                     joined += self.log_join[between[i]]
                     width += between[i] != _TIGHT
                     name = f"{normal[i]}{between[i]}{name}"
-                bucket = zlib.crc32(name.encode()) % BUCKETS
+                h = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
+                cells = tuple(r * BUCKETS + (h >> 17 * r) % BUCKETS for r in range(ROWS))
                 p = math.exp(-_BASE * width)
                 if self.total:
-                    p += max(0.0, float(self.counts[bucket]) - 1.0) / self.total
-                row.append((i, bucket, math.log(p) + joined + (self.log_split[between[i - 1]] if i else 0.0)))
+                    p += max(0.0, min(float(self.counts[c]) for c in cells) - 1.0) / self.total
+                row.append((i, cells, math.log(p) + joined + (self.log_split[between[i - 1]] if i else 0.0)))
             out.append(row)
         return out
 
@@ -206,10 +208,11 @@ class Model:
         for i in range(n - 1, -1, -1):
             bwd[i] = _log_sum([bwd[j] + s for j, s in leaving[i]])
         for j, row in enumerate(arcs, 1):
-            for i, bucket, s in row:
+            for i, cells, s in row:
                 p = math.exp(min(0.0, fwd[i] + s + bwd[j] - fwd[n]))
                 if p > 1e-4:
-                    counts[bucket] = counts.get(bucket, 0.0) + p
+                    for c in cells:
+                        counts[c] = counts.get(c, 0.0) + p
                     if i:
                         splits[0, between[i - 1]] += p
         for k in between:
@@ -228,7 +231,7 @@ def learn(texts: DataFrame, column: str, rounds: int = 2) -> Model:
     """
     sc = texts.sparkSession.sparkContext
     rows = texts.where(F.length(F.trim(column)) > 0).select(F.col(column).alias("text")).distinct()
-    model = Model(np.zeros(BUCKETS), _FIRST_SPLIT)
+    model = Model(np.zeros(_CELLS), _FIRST_SPLIT)
     for _ in range(rounds):
         shared = sc.broadcast((model.counts, model.split))
 
@@ -239,16 +242,13 @@ def learn(texts: DataFrame, column: str, rounds: int = 2) -> Model:
             for batch in batches:
                 for text in batch["text"]:
                     now.expect(plain(text), counts, splits)
-            extra = [(BUCKETS + c, splits[0, c]) for c in range(len(CLASSES))] + [(2 * BUCKETS + c, splits[1, c]) for c in range(len(CLASSES))]
-            yield pd.DataFrame([*counts.items(), *extra], columns=["bucket", "n"])
-
-        got = rows.mapInPandas(expected, "bucket bigint, n double").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-        b, x = got["bucket"].to_numpy(dtype=np.int64), got["n"].to_numpy(dtype=float)
-        counts = np.zeros(BUCKETS)
-        counts[b[b < BUCKETS]] = x[b < BUCKETS]
-        split, seen = np.zeros(len(CLASSES)), np.zeros(len(CLASSES))
-        one, two = (b >= BUCKETS) & (b < 2 * BUCKETS), b >= 2 * BUCKETS
-        split[b[one] - BUCKETS], seen[b[two] - 2 * BUCKETS] = x[one], x[two]
+            extra = [(_CELLS + r * len(CLASSES) + c, splits[r, c]) for r in range(2) for c in range(len(CLASSES))]
+            yield pd.DataFrame([*counts.items(), *extra], columns=["cell", "n"])
+
+        got = rows.mapInPandas(expected, "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        sums = np.zeros(_CELLS + 2 * len(CLASSES))
+        sums[got["cell"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=float)
+        counts, (split, seen) = sums[:_CELLS], sums[_CELLS:].reshape(2, -1)
         model = Model(counts, np.clip((split + _FIRST_SPLIT * 4) / (seen + 4), 1e-4, 1 - 1e-4))
     return model
 
