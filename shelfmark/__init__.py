@@ -1,10 +1,3 @@
 """Shelfmark: a Spark-first engine for catalogue extraction, linking, search and data cleaning."""
 
-import sys
-
-from pyspark import cloudpickle
-
 __version__ = "0.1.0"
-
-# Functions of this package travel to the executors by value, so no executor needs the package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Cells of the sketch of value counts; 3 MB as float64, the bound of what is broadcast and of what the driver gets.
 ROWS, BUCKETS = 3, 1 << 17
 _CELLS = ROWS * BUCKETS
@@ -229,6 +231,7 @@ def learn(texts: DataFrame, column: str, rounds: int = 2) -> Model:
 
     Repeated texts are counted once, since a copy is no evidence of another value.
     """
+    ship(texts.sparkSession)
     sc = texts.sparkSession.sparkContext
     rows = texts.where(F.length(F.trim(column)) > 0).select(F.col(column).alias("text")).distinct()
     model = Model(np.zeros(_CELLS), _FIRST_SPLIT)

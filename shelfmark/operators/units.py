@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Base dimensions, in the order of every exponent vector.
 DIMENSIONS = ("energy", "mass", "volume", "count", "money", "temperature")
 
@@ -222,5 +224,6 @@ def common_quantities(
     row; repeated input rows give repeated rows; an empty table gives an empty result; other
     columns are ignored, so clashing names do no harm.
     """
+    ship(df.sparkSession)
     q = F.pandas_udf(_quantities, _ROW)(*(F.col(c) for c in (energy, price, unit, description, highlights, name)))
     return df.select(F.col(id_col).alias(id_col), F.explode(q).alias("_q")).select(id_col, "_q.field", "_q.common_unit", "_q.common_value")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,8 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 200_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that none needs it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    at = tempfile.mkdtemp(prefix="shelfmark-code-")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    package = Path(__file__).resolve().parent
+    shutil.copytree(package, Path(at, "src", package.name), ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(Path(at, "shelfmark_code")), "zip", Path(at, "src")))
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table by name; ``sf_dir`` is any directory or URI of Parquet tables."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
