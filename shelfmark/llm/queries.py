@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canonical, copies
+from . import boilerplate, canonical, containers, copies, markup, mixing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,11 +39,100 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return _mapped(spark, d).where("ref_id = -1").groupBy("field", "value").agg(F.count("*").alias("n_rows"))
 
 
+#: Fields of each table that may hold markup.
+_MARKED = {"extract_wiki_articles": ("wiki_id", ["wiki_text"]), "postprocessing_extracted": ("product_id", ["description", "highlights"])}
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    parts = [
+        markup.labelled(table(spark, d, t), i, fields).select(F.lit(t).alias("source_table"), F.col(i).alias("record_id"), "field", "kinds", "clean")
+        for t, (i, fields) in _MARKED.items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _labelled(spark, d).select("source_table", "record_id", "field", F.explode("kinds").alias("kind")).distinct()
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    return _labelled(spark, d).select("source_table", "record_id", "field", "clean")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    body = boilerplate.main_body(table(spark, d, "html_to_products"))
+    return body.select("source_file", F.md5(F.encode("line", "UTF-8")).alias("line_md5")).distinct()
+
+
+def p6_body(spark: SparkSession, d: str) -> DataFrame:
+    """The main body of each page as one text, lines in order."""
+    lines = boilerplate.main_body(table(spark, d, "html_to_products")).groupBy("source_file").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
+    return lines.select("source_file", F.array_join("_l.line", "\n").alias("body"))
+
+
+def _capacity(spark: SparkSession, d: str) -> int:
+    return table(spark, d, "container_spec").select(F.min("capacity_tokens")).first()[0]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return containers.split_texts(containers.pack(table(spark, d, "documents"), _capacity(spark, d)))
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return containers.pack(table(spark, d, "documents"), _capacity(spark, d))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return containers.fill_report(p8_packed(spark, d), _capacity(spark, d))
+
+
+def _mix(spark: SparkSession, d: str) -> mixing.Mix:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).report().where("short").select("source")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).report()
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).rows()
+
+
+def _statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.document_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _statistics(spark, d).where("kind != 'prose'").select("doc_id", "kind").distinct()
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The basic counts, rounded; the kind of every document beside them."""
+    s = _statistics(spark, d)
+    return s.select("doc_id", "n_words", *(F.round(c, 4).alias(c) for c in ("mean_word_length", "symbol_ratio", "line_end_share", "common_share")))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_copies": p1_copies,
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
+    "p4_found": p4_found,
+    "p4_clean": p4_clean,
+    "p6_found": p6_found,
+    "p6_body": p6_body,
+    "p8_found": p8_found,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_report": p9_report,
+    "p9_mixture": p9_mixture,
+    "p10_found": p10_found,
+    "p10_statistics": p10_statistics,
 }
 
 _P1 = r"""
