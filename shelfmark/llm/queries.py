@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import boilerplate, canonical, containers, copies, markup, mixing, quality
+from . import boilerplate, canonical, containers, copies, listings, markup, mixing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,14 @@ def p1_copies(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapsed(table(spark, d, "unit_tests"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return listings.listing_pairs(table(spark, d, "unit_tests"), table(spark, d, "brand_reference"))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return listings.listing_groups(table(spark, d, "unit_tests"), table(spark, d, "brand_reference"))
+
+
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
     brand = canonical.map_values(table(spark, d, "unit_tests"), "brand", "product_id", table(spark, d, "brand_reference"), "brand_id", "brand")
     ingredient = canonical.map_values(
@@ -119,6 +127,8 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_copies": p1_copies,
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
     "p4_found": p4_found,
