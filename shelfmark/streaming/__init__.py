@@ -1 +1 @@
-
+"""Structured Streaming: new pages and records as they arrive."""
