@@ -91,18 +91,28 @@ def plan(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> list[t
             used[key] = (counts, used.get(key, (counts, 0))[1] + 1)
             cover += counts * floor / x
         rest = left[live].copy()
+        rounded = []
         for counts, times in sorted(used.values(), key=lambda u: -u[1]):
             some = counts > 0
             fit = min(int(floor * times / steps), int((rest[some] // counts[some]).min()))
             if fit > 0:
-                out.append((n[some], counts[some], fit))
+                rounded.append((n[some], counts[some], fit))
                 rest = rest - counts * fit
-        while rest.any():
-            counts = greedy(n, rest, capacity, n.astype(float))
-            some = counts > 0
-            fit = int((rest[some] // counts[some]).min())
-            out.append((n[some], counts[some], fit))
-            rest = rest - counts * fit
+        # Rounding down loses when most lengths have a handful of items: then the greedy plan may be shorter.
+        plans = [rounded + _greedy_plan(n, rest, capacity), _greedy_plan(n, left[live], capacity)]
+        out += min(plans, key=lambda p: sum(t for *_, t in p))
+    return out
+
+
+def _greedy_plan(lengths: np.ndarray, rest: np.ndarray, capacity: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Largest items first, a configuration at a time; each uses up at least one length down to less than its count."""
+    out = []
+    while rest.any():
+        counts = greedy(lengths, rest, capacity, lengths.astype(float))
+        some = counts > 0
+        fit = int((rest[some] // counts[some]).min())
+        out.append((lengths[some], counts[some], fit))
+        rest = rest - counts * fit
     return out
 
 
