@@ -108,9 +108,11 @@ def unit_pair(c: Column | str) -> Column:
 
 
 def flags(names: str | list[str]) -> str:
-    """Regular-expression flags (I, S, M, U, X) as an inline prefix."""
-    letters = "".join(sorted({n.strip()[:1].lower() for n in (names if isinstance(names, list) else names.split("|")) if n.strip()} & set("ismux")))
-    return f"(?{letters})" if letters else ""
+    """Regular-expression flags by letter or name (I or IGNORECASE, S or DOTALL, M, U, X or VERBOSE) as an inline prefix."""
+    listed = names if isinstance(names, list) else names.split("|")
+    letters = {n.strip().upper()[:1].translate(str.maketrans("DV", "SX")) for n in listed if n.strip()}
+    kept = "".join(sorted(letters & set("ISMUX"))).lower()
+    return f"(?{kept})" if kept else ""
 
 
 def sha_prefix(c: Column | str, n: int = 12) -> Column:

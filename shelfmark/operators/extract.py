@@ -57,7 +57,7 @@ def complete(products: DataFrame) -> DataFrame:
 def block_lines(c: Column, item: str) -> Column:
     """Lines of a block: the texts of its ``item`` elements, cleaned, blanks dropped, joined by blanks."""
     found = F.regexp_extract_all(c, F.lit(f"(?is)<{item}[^>]*>(.*?)</{item}>"), 1)
-    return F.array_join(F.filter(F.transform(found, tx.strip_html), lambda x: x != ""), " ")
+    return F.array_join(F.filter(F.transform(found, lambda x: tx.strip_html(x)), lambda x: x != ""), " ")
 
 
 def clean_products(raw: DataFrame, mode: str = "block") -> DataFrame:
