@@ -47,7 +47,7 @@ def main() -> None:
         timed("index_build", lambda: sinks.write_index(core._tfidf(spark, sf).tables(), f"{work}/index"))
         timed("fielded_build", lambda: sinks.write_index(core._fielded(spark, sf).tables(), f"{work}/fielded"))
         flat = index.TfIdfIndex(**{k: v.cache() for k, v in sinks.read_index(spark, f"{work}/index", ["postings", "terms", "docs"]).items()})
-        fielded = search.FieldedIndex(**{k: v.cache() for k, v in sinks.read_index(spark, f"{work}/fielded", ["postings", "lengths", "fields", "catalog"]).items()})
+        fielded = search.FieldedIndex(**{k: v.cache() for k, v in sinks.read_index(spark, f"{work}/fielded", ["postings", "terms", "fields", "catalog"]).items()})
         for t in (*flat.tables().values(), *fielded.tables().values()):
             t.count()
         index.search(flat, "warm up", "idf_l2").collect()

@@ -88,7 +88,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         stored = {c: F.col(c) for c in ("name", "brand", "category", "price_currency", "price_num")}
         sinks.write_index(search.build(p, "product_id", text, stored).tables(), a.out)
     elif a.command == "search":
-        built = search.FieldedIndex(**sinks.read_index(spark, a.index, ["postings", "lengths", "fields", "catalog"]))
+        built = search.FieldedIndex(**sinks.read_index(spark, a.index, ["postings", "terms", "fields", "catalog"]))
         search.search_products(built, " ".join(a.terms), SEARCH_FIELDS, a.topk, a.field, not a.no_fuzzy).show(a.topk, False)
     elif a.command == "stats":
         stats.storage(spark.read.parquet(a.pages)).show(truncate=False)

@@ -22,24 +22,28 @@ K1, B = 1.2, 0.75
 
 @dataclass(frozen=True)
 class FieldedIndex:
-    postings: DataFrame  # field, term, doc_id, tf, positions
-    lengths: DataFrame  # field, doc_id, dl
+    postings: DataFrame  # field, term, doc_id, tf, dl, positions
+    terms: DataFrame  # field, term, df
     fields: DataFrame  # field, doc_count, sum_tf
     catalog: DataFrame  # doc_id and stored columns
 
     def tables(self) -> dict[str, DataFrame]:
-        return {"postings": self.postings, "lengths": self.lengths, "fields": self.fields, "catalog": self.catalog}
+        return {"postings": self.postings, "terms": self.terms, "fields": self.fields, "catalog": self.catalog}
 
 
 def build(df: DataFrame, id_col: str, text: dict[str, Column], stored: dict[str, Column]) -> FieldedIndex:
-    """Index of unique documents: analysed text fields with positions, and stored columns for ranges, keywords and display."""
+    """Index of unique documents: analysed text fields with positions, and stored columns for ranges, keywords and display.
+
+    Postings carry the length of their field, so that a query joins nothing but its own words.
+    """
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("field"), tx.analyze(c).alias("tokens")) for n, c in text.items())))
     tokens = df.select(F.col(id_col).alias("doc_id"), each.alias("f")).select("doc_id", "f.field", "f.tokens").where("size(tokens) > 0")
-    placed = tokens.select("field", "doc_id", F.posexplode("tokens").alias("pos", "term"))
-    postings = placed.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    lengths = tokens.select("field", "doc_id", F.size("tokens").cast("bigint").alias("dl"))
-    fields = lengths.groupBy("field").agg(F.count("*").alias("doc_count"), F.sum("dl").alias("sum_tf"))
-    return FieldedIndex(postings, lengths, fields, df.select(F.col(id_col).alias("doc_id"), *(c.alias(n) for n, c in stored.items())))
+    length = F.size("tokens").cast("bigint").alias("dl")
+    placed = tokens.select("field", "doc_id", length, F.posexplode("tokens").alias("pos", "term"))
+    postings = placed.groupBy("field", "term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    terms = tokens.select("field", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("field", "term").agg(F.count("*").alias("df"))
+    fields = tokens.select("field", length).groupBy("field").agg(F.count("*").alias("doc_count"), F.sum("dl").alias("sum_tf"))
+    return FieldedIndex(postings, terms, fields, df.select(F.col(id_col).alias("doc_id"), *(c.alias(n) for n, c in stored.items())))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -51,16 +55,16 @@ def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
 
 
 def expansions(index: FieldedIndex, node: Fuzzy) -> DataFrame:
-    """``(field, term, boost)`` of the words near ``node.text``: per field the nearest, at most ``node.expansions``; boost falls with the distance."""
+    """``(field, term, df, boost)`` of the words near ``node.text``: per field the nearest, at most ``node.expansions``; boost falls with the distance."""
     lo, hi = len(node.text) - node.edits, len(node.text) + node.edits
-    words = index.postings.where(F.length("term").between(lo, hi))
+    words = index.terms.where(F.length("term").between(lo, hi))
     if node.fields:
         words = words.where(F.col("field").isin(*node.fields))
     d = F.levenshtein(F.col("term"), F.lit(node.text), node.edits)
-    near = words.select("field", "term").distinct().withColumn("d", d).where(f"d between 0 and {node.edits}")
+    near = words.withColumn("d", d).where(f"d between 0 and {node.edits}")
     n = F.row_number().over(Window.partitionBy("field").orderBy("d", "term"))
     boost = 1.0 - F.col("d") / F.least(F.length("term"), F.lit(len(node.text)))
-    return near.withColumn("n", n).where(F.col("n") <= node.expansions).select("field", "term", boost.alias("boost"))
+    return near.withColumn("n", n).where(F.col("n") <= node.expansions).select("field", "term", "df", boost.alias("boost"))
 
 
 def phrase_frequency(words: tuple[str, ...], positions: dict[str, Column], slop: int) -> Column:
@@ -111,38 +115,38 @@ class Compiler:
     def word_hits(self) -> DataFrame | None:
         """``(clause, doc_id, score)`` of all word clauses, by one join to the postings."""
         fixed = [(i, f, n.text, float(n.boost)) for i, n in enumerate(self.leaves.nodes) if isinstance(n, Term) for f in self.fields_of(n)]
-        wanted = self.spark.createDataFrame(fixed, "clause int, field string, term string, boost double") if fixed else None
+        wanted = None
+        if fixed:
+            asked = self.spark.createDataFrame(fixed, "clause int, field string, term string, boost double")
+            known = self.index.terms.where(F.col("term").isin(*{t for _, _, t, _ in fixed}))
+            wanted = known.join(F.broadcast(asked), ["field", "term"]).select("clause", "field", "term", "df", "boost")
         for i, n in enumerate(self.leaves.nodes):
             if isinstance(n, Fuzzy):
-                near = expansions(self.index, Fuzzy(n.text, self.fields_of(n), n.edits, n.expansions)).select(F.lit(i).alias("clause"), "field", "term", "boost")
+                near = expansions(self.index, Fuzzy(n.text, self.fields_of(n), n.edits, n.expansions)).select(F.lit(i).alias("clause"), "field", "term", "df", "boost")
                 wanted = near if wanted is None else wanted.unionByName(near)
         if wanted is None:
             return None
-        posted = self.index.postings.select("field", "term", "doc_id", "tf")
+        posted = self.index.postings.select("field", "term", "doc_id", "tf", "dl")
         if fixed and not any(isinstance(n, Fuzzy) for n in self.leaves.nodes):
             posted = posted.where(F.col("term").isin(*{t for _, _, t, _ in fixed}))  # reaches the scan
-        hits = posted.join(F.broadcast(wanted), ["field", "term"])  # at most 50 words a field and clause
-        return self.scored(hits, ["clause", "field", "term"]).groupBy("clause", "doc_id").agg(F.sum("score").alias("score"))
-
-    def scored(self, hits: DataFrame, keys: list[str]) -> DataFrame:
-        """Hits with their score; document frequencies are counted on the pruned hits themselves."""
-        df = hits.groupBy(*keys).agg(F.count("*").alias("df"))
-        out = hits.join(F.broadcast(df), keys).join(F.broadcast(self.index.fields), "field").join(self.index.lengths, ["field", "doc_id"])  # rows: query words; fields
-        return out.withColumn("score", F.col("boost") * idf(F.col("doc_count"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("sum_tf") / F.col("doc_count")))
+        weighed = wanted.join(F.broadcast(self.index.fields), "field")  # a row per field
+        weighed = weighed.select("clause", "field", "term", (F.col("boost") * idf(F.col("doc_count"), F.col("df"))).alias("weight"), (F.col("sum_tf") / F.col("doc_count")).alias("avgdl"))
+        hits = posted.join(F.broadcast(weighed), ["field", "term"])  # at most 50 words a field and clause
+        return hits.groupBy("clause", "doc_id").agg(F.sum(F.col("weight") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
 
     def phrase_hits(self, clause: int, node: Phrase) -> DataFrame:
         fields = self.fields_of(node)
         words = list(dict.fromkeys(node.words))
         posted = self.index.postings.where(F.col("term").isin(*words) & F.col("field").isin(*fields))
-        df = posted.groupBy("field", "term").agg(F.count("*").alias("df")).join(F.broadcast(self.index.fields), "field")
+        df = self.index.terms.where(F.col("term").isin(*words) & F.col("field").isin(*fields)).join(F.broadcast(self.index.fields), "field")
         idfs = df.withColumn("i", idf(F.col("doc_count"), F.col("df"))).groupBy("field", "doc_count", "sum_tf").pivot("term", words).agg(F.first("i"))
         weight = F.lit(0.0)
         for w in node.words:
             weight = weight + F.coalesce(F.col(f"`{w}`"), F.lit(0.0))
         idfs = idfs.select("field", "doc_count", "sum_tf", weight.alias("weight"))
-        docs = posted.groupBy("field", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.count("*").alias("n")).where(F.col("n") == len(words))
+        docs = posted.groupBy("field", "doc_id", "dl").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.count("*").alias("n")).where(F.col("n") == len(words))
         freq = phrase_frequency(node.words, {w: F.element_at("at", F.lit(w)) for w in words}, node.slop)
-        hits = docs.withColumn("tf", freq).where("tf > 0").join(F.broadcast(idfs), "field").join(self.index.lengths, ["field", "doc_id"])
+        hits = docs.withColumn("tf", freq).where("tf > 0").join(F.broadcast(idfs), "field")
         score = F.col("weight") * saturation(F.col("tf"), F.col("dl"), F.col("sum_tf") / F.col("doc_count"))
         return hits.groupBy("doc_id").agg(F.sum(score).alias("score")).select(F.lit(clause).alias("clause"), "doc_id", "score")
 

@@ -15,7 +15,7 @@ from .operators import crawl, enrich, entities, extract, index, lookups, packed,
 from .plans import ast
 from .plans import compile as search
 from .plans import parser
-from .session import table
+from .session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,12 +42,12 @@ def q(text: str) -> str:
 
 @query()
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return units.common_quantities(table(spark, d, "unit_tests")).distinct()
+    return units.common_quantities(spread(table(spark, d, "unit_tests"))).distinct()
 
 
 @query()
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return packed.split_values(table(spark, d, "postprocessing_extracted"), "ingredients", "product_id").distinct()
+    return packed.split_values(spread(table(spark, d, "postprocessing_extracted")), "ingredients", "product_id").distinct()
 
 
 # The TF-IDF index and search on it.
@@ -187,7 +187,7 @@ FROM (SELECT DISTINCT field, term, levenshtein(term, 'choclate') AS lv FROM pst)
 @query(_BM25 + f"SELECT field, term, round(1.0::double - lv::double / least(length(term), 8), 6) AS boost FROM ({_NEAR})")
 def search_fuzzy_expansions(spark: SparkSession, d: str) -> DataFrame:
     near = search.expansions(_fielded(spark, d), ast.Fuzzy("choclate", FIELDS))
-    return near.withColumn("boost", F.round("boost", 6))
+    return near.select("field", "term", F.round("boost", 6).alias("boost"))
 
 
 @query(_BM25 + _hits_sql(f"SELECT 0 AS clause, field, term, 1.0::double - lv::double / least(length(term), 8) AS boost FROM ({_NEAR})") + "SELECT doc_id, round(sum(score), 6) AS score FROM h GROUP BY doc_id" + _TOP)

@@ -46,7 +46,7 @@ def write_index(index: dict[str, DataFrame], path: str) -> None:
     """Index tables as Parquet; rows sorted by term within files, so that a scan for few terms skips row groups."""
     for name, df in index.items():
         keys = [c for c in ("term", "doc_id") if c in df.columns]
-        out = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if "term" in keys else df
+        out = df.sortWithinPartitions(*keys) if "term" in keys else df
         out.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
