@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from . import boilerplate, canonical, containers, copies, listings, markup, mixing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,11 +22,11 @@ def p1_copies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return listings.listing_pairs(table(spark, d, "unit_tests"), table(spark, d, "brand_reference"))
+    return listings.listing_pairs(spread(table(spark, d, "unit_tests")), table(spark, d, "brand_reference"))
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    return listings.listing_groups(table(spark, d, "unit_tests"), table(spark, d, "brand_reference"))
+    return listings.listing_groups(spread(table(spark, d, "unit_tests")), table(spark, d, "brand_reference"))
 
 
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +53,7 @@ _MARKED = {"extract_wiki_articles": ("wiki_id", ["wiki_text"]), "postprocessing_
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     parts = [
-        markup.labelled(table(spark, d, t), i, fields).select(F.lit(t).alias("source_table"), F.col(i).alias("record_id"), "field", "kinds", "clean")
+        markup.labelled(spread(table(spark, d, t)), i, fields).select(F.lit(t).alias("source_table"), F.col(i).alias("record_id"), "field", "kinds", "clean")
         for t, (i, fields) in _MARKED.items()
     ]
     return parts[0].unionByName(parts[1])
@@ -83,11 +83,11 @@ def _capacity(spark: SparkSession, d: str) -> int:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return containers.split_texts(containers.pack(table(spark, d, "documents"), _capacity(spark, d)))
+    return containers.split_texts(containers.pack(spread(table(spark, d, "documents")), _capacity(spark, d)))
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
-    return containers.pack(table(spark, d, "documents"), _capacity(spark, d))
+    return containers.pack(spread(table(spark, d, "documents")), _capacity(spark, d))
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +95,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str) -> mixing.Mix:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mix(spread(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +111,7 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _statistics(spark: SparkSession, d: str) -> DataFrame:
-    return quality.document_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
+    return quality.document_statistics(spread(table(spark, d, "documents")), table(spark, d, "common_words"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
