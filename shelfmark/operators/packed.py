@@ -234,6 +234,7 @@ def learn(texts: DataFrame, column: str, rounds: int = 2) -> Model:
     ship(texts.sparkSession)
     sc = texts.sparkSession.sparkContext
     rows = texts.where(F.length(F.trim(column)) > 0).select(F.col(column).alias("text")).distinct()
+    rows = rows.repartition(max(sc.defaultParallelism, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))  # few bytes, much work
     model = Model(np.zeros(_CELLS), _FIRST_SPLIT)
     for _ in range(rounds):
         shared = sc.broadcast((model.counts, model.split))
