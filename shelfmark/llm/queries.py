@@ -156,7 +156,20 @@ k AS (
   FROM f)
 """
 
+_P10 = r"""
+WITH c AS (SELECT lang, list(DISTINCT lower(word)) AS ws FROM common_words GROUP BY lang),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*') AS ws, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents),
+h AS (SELECT doc_id, max(len(list_filter(w.ws, lambda x: list_contains(c.ws, lower(x))))) AS hits FROM w, c GROUP BY doc_id)
+SELECT doc_id, cast(len(ws) AS bigint) AS n_words,
+  round(CASE WHEN len(ws) > 0 THEN list_sum(list_transform(ws, lambda x: length(x)))::double / len(ws) ELSE 0 END, 4) AS mean_word_length,
+  round(CASE WHEN length(regexp_replace(text, '\s', '', 'g')) > 0 THEN length(regexp_replace(text, '[\p{L}\p{N}\s]', '', 'g'))::double / length(regexp_replace(text, '\s', '', 'g')) ELSE 0 END, 4) AS symbol_ratio,
+  round(CASE WHEN len(ls) > 0 THEN len(list_filter(ls, lambda x: regexp_matches(rtrim(x), '[.!?…]$')))::double / len(ls) ELSE 0 END, 4) AS line_end_share,
+  round(CASE WHEN len(ws) > 0 THEN hits::double / len(ws) ELSE 0 END, 4) AS common_share
+FROM w JOIN h USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
+    "p10_statistics": _P10,
     "p1_found": _P1 + "SELECT a.product_id AS product_id_a, b.product_id AS product_id_b FROM k a JOIN k b ON a.n = b.n AND a.s = b.s AND a.product_id < b.product_id",
     "p1_copies": _P1 + "SELECT min(product_id) AS class_id, count(*) AS copies FROM k GROUP BY n, s",
 }
