@@ -155,9 +155,8 @@ def pack(df: DataFrame, capacity: int, id_col: str = "doc_id", text: str = "text
             yield batch.assign(container_id=container).drop(columns="rank")
 
     ranked = tokens.offset_within(pieces, "size", ["_row", "piece"], None, sum(histogram.values()), "rank")
-    ranked = ranked.select(F.col("_id").alias("id"), "piece", "first_token", F.col("size").alias("n_tokens"), "rank")
-    kind = docs.schema["_id"].dataType.simpleString()
-    out = ranked.mapInPandas(placed, f"id {kind}, piece bigint, first_token bigint, n_tokens bigint, container_id bigint")
+    ranked = ranked.select(F.col("_id").cast("string").alias("id"), "piece", "first_token", F.col("size").alias("n_tokens"), "rank")
+    out = ranked.mapInPandas(placed, "id string, piece bigint, first_token bigint, n_tokens bigint, container_id bigint").withColumn("id", F.col("id").cast(docs.schema["_id"].dataType))
     nothing = docs.where("n_tokens = 0").select(F.col("_id").alias("id"), F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("first_token"), "n_tokens", F.lit(None).cast("bigint").alias("container_id"))
     return out.unionByName(nothing).withColumnRenamed("id", id_col)
 

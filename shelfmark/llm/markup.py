@@ -346,6 +346,6 @@ def labelled(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
             yield pd.DataFrame({"id": batch["id"], "field": batch["field"], "kinds": kinds, "clean": clean})
 
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields)))
-    rows = df.select(F.col(id_col).alias("id"), each.alias("_f")).select("id", "_f.field", "_f.text").where("text is not null")
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, field string, kinds array<string>, clean string").withColumnRenamed("id", id_col)
+    kind = df.select(id_col).schema[0].dataType
+    rows = df.select(F.col(id_col).cast("string").alias("id"), each.alias("_f")).select("id", "_f.field", "_f.text").where("text is not null")
+    return rows.mapInPandas(run, "id string, field string, kinds array<string>, clean string").select(F.col("id").cast(kind).alias(id_col), "field", "kinds", "clean")
