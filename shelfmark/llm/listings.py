@@ -2,9 +2,8 @@
 
 Every listing is read into attribute tokens (brand, kind, flavour, type, size of a unit,
 number of units) from all its fields. Listings with equal tokens are one node. Nodes meet in
-blocks; an edge weighs the rarity of the blocks its nodes share, each node keeps only edges
-near its best, the survivors are verified by attribute rules (sizes and typed brands may
-differ a little, nothing else may), and connected survivors form the groups.
+blocks of all tokens; sizes and typed brands may differ a little, nothing else may, and nodes
+connected by agreeing neighbours form the groups.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, ship
@@ -23,8 +22,6 @@ from . import canonical, copies
 
 #: Sizes within this ratio are one size written in different units.
 SIZE_TOLERANCE = 0.025
-#: A node keeps edges that weigh at least this share of its heaviest.
-KEEP_SHARE = 0.5
 
 # Kinds of product, each with its other names after "=".
 KINDS = """
@@ -262,48 +259,28 @@ def listing_groups(df: DataFrame, brands: DataFrame, id_col: str = "product_id",
     """Rows ``(id, group_id, links)``: the group of each listing (its smallest id) and to how many other listings it is linked.
 
     A listing whose fields do not tell brand, kind, flavour, and size or number is a group of its
-    own. Equal listings are one node however many there are (map-side combined), a block's
-    nodes each get one edge, to the block's first node, since a block's key holds all
-    attributes up to the tolerances; sizes fall in two overlapping grids, so that no two sizes
-    within the tolerance are parted. Nothing is ever paired within a block.
+    own. Equal listings are one node however many there are (map-side combined). A block's key
+    holds all attributes but the size, by which its nodes are sorted: each gets one edge, to the
+    one before it, if their sizes agree. Typed brands meet in a block of each two forms that agree.
     """
     read = checkpointed(attributes(df, brands, id_col, fields))
     told = read.where("brand is not null and kind is not null and flavour is not null and count is not null")
     node = ["brand", "kind", "flavour", "type", "dim", "size", "count"]
     nodes = told.groupBy(*node).agg(F.min("_id").alias("node"), F.count("*").alias("n"))
 
-    # Token blocks, and the rarity of each: what an edge weighs.
-    grid = 2 * math.log1p(SIZE_TOLERANCE) * 2
-    where = F.coalesce(F.log("size"), F.lit(0.0)) / grid
-    brand_tokens = F.when(F.col("brand").startswith("#"), F.array("brand")).otherwise(F.array(F.concat(F.lit("^"), F.substring("brand", 2, 4)), F.concat(F.expr("right(brand, 4)"), F.lit("$"))))
-    tokens = F.array(*(F.concat(F.lit(f"{k}:"), F.coalesce(F.col(k).cast("string"), F.lit("-"))) for k in ("kind", "flavour", "type", "count")), F.concat(F.lit("size:"), F.coalesce("dim", F.lit("-")), F.floor(where).cast("string")))
-    nodes = nodes.withColumn("tokens", F.concat(F.transform(brand_tokens, lambda x: F.concat(F.lit("brand:"), x)), tokens))
-    rarity = nodes.select(F.explode("tokens").alias("token")).groupBy("token").agg((1.0 / F.log2(1.0 + F.count("*"))).alias("rare"))
-    weighed = nodes.select("node", F.explode("tokens").alias("token")).join(rarity, "token").groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("token", "rare"))).alias("rare"))
-    nodes = checkpointed(nodes.join(weighed, "node"))
-
-    key = lambda shift: F.transform(
-        brand_tokens, lambda b: F.xxhash64(F.lit(shift), b, "kind", "flavour", F.coalesce("type", F.lit("")), F.coalesce("dim", F.lit("")), "count", F.floor(where + F.lit(shift)))
-    )
-    blocks = nodes.select("node", F.explode(F.concat(key(0.0), key(0.5))).alias("block"))
-    firsts = blocks.groupBy("block").agg(F.min("node").alias("first"), F.count("*").alias("members")).where("members > 1")
-    edges = blocks.join(firsts, "block").where("node != first").select("node", "first").distinct()
-    left, right = nodes.select([F.col(c).alias(f"l_{c}") for c in nodes.columns]), nodes.select([F.col(c).alias(f"r_{c}") for c in nodes.columns])
-    edges = edges.join(left, F.col("node") == F.col("l_node")).join(right, F.col("first") == F.col("r_node"))
-    shared_tokens = F.array_intersect("l_tokens", "r_tokens")
-    edges = edges.withColumn("weight", F.aggregate(F.transform(shared_tokens, lambda t: F.element_at("l_rare", t)), F.lit(0.0), lambda a, x: a + x))
-
-    # Pruning per node, seen from either end.
-    heaviest = edges.select(F.col("node").alias("v"), "weight").unionByName(edges.select(F.col("first").alias("v"), "weight")).groupBy("v").agg(F.max("weight").alias("top"))
-    edges = edges.join(heaviest.withColumnsRenamed({"v": "node", "top": "top_l"}), "node").join(heaviest.withColumnsRenamed({"v": "first", "top": "top_r"}), "first")
-    edges = edges.where((F.col("weight") >= KEEP_SHARE * F.col("top_l")) | (F.col("weight") >= KEEP_SHARE * F.col("top_r")))
-
-    # Attribute rules.
-    same = F.col("l_brand").eqNullSafe(F.col("r_brand")) | (~F.col("l_brand").startswith("#") & ~F.col("r_brand").startswith("#") & (F.levenshtein("l_brand", "r_brand") <= F.when(F.least(F.length("l_brand"), F.length("r_brand")) > 9, 4).otherwise(2)) & (F.length("l_brand") > 6))
-    for c in ("kind", "flavour", "type", "dim", "count"):
-        same = same & F.col(f"l_{c}").eqNullSafe(F.col(f"r_{c}"))
-    same = same & (F.col("l_size").eqNullSafe(F.col("r_size")) | (F.abs(F.log("l_size") - F.log("r_size")) <= math.log1p(SIZE_TOLERANCE)))
-    links = checkpointed(edges.where(same).select("node", "first").distinct())
+    # A block holds the nodes that agree in all but the size: those of one brand, or of two typed forms of one.
+    same = [c for c in node if c not in ("brand", "size")]
+    nodes = checkpointed(nodes.withColumn("key", F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in same))))
+    own = nodes.select("node", "size", *same, F.struct("brand", F.col("brand").alias("other")).alias("pair"))
+    forms = checkpointed(typed_pairs(nodes.where("brand not like '#%'").select("key", "brand").distinct()))
+    ends = forms.select("key", "brand", F.struct("brand", "other").alias("pair")).unionByName(forms.select("key", F.col("other").alias("brand"), F.struct("brand", "other").alias("pair")))
+    both = nodes.join(ends, ["key", "brand"]).select("node", "size", *same, "pair")
+
+    # Within a block only the size can part two nodes, so that neighbours in its order make the same groups as all pairs.
+    order = Window.partitionBy("pair", *same).orderBy("size", "node")
+    last = own.unionByName(both).select("node", "size", F.lag("node").over(order).alias("first"), F.lag("size").over(order).alias("before"))
+    near = F.col("size").eqNullSafe(F.col("before")) | (F.abs(F.log("size") - F.log("before")) <= math.log1p(SIZE_TOLERANCE))
+    links = checkpointed(last.where("first is not null").where(near).select("node", "first").distinct())
     groups = components(links)
 
     member = told.join(nodes.select(*node, "node", "n").select(*(F.col(c).alias(f"n_{c}") for c in (*node, "node", "n"))), [F.col(c).eqNullSafe(F.col(f"n_{c}")) for c in node])
@@ -314,6 +291,30 @@ def listing_groups(df: DataFrame, brands: DataFrame, id_col: str = "product_id",
     return out.select(F.col("_id").alias(id_col), F.coalesce("group_id", "_id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
+def typed_pairs(forms: DataFrame) -> DataFrame:
+    """Rows ``(key, brand, other)``, ``brand < other``: typed forms of one brand that share a key, given distinct ``(key, brand)``.
+
+    Two forms agree within 4 edits if both are longer than 9 characters, else within 2. One
+    cut into more pieces than there may be edits keeps a piece whole in the other, moved by
+    no more places than that: forms meet by such pieces, and no pair is missed.
+    """
+    edits = lambda n: F.when(n > 9, 4).otherwise(2)
+    n = F.length("brand")
+    count = edits(n) + 1
+    cut = lambda k: F.floor(k * F.col("n") / F.col("count")).cast("int")
+    pieces = forms.withColumns({"n": n, "count": count}).where("n >= count").select("key", "brand", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("k"), "n", "count")
+    pieces = pieces.select("key", "brand", cut(F.col("k")).alias("at"), F.substring(F.col("brand"), cut(F.col("k")) + 1, cut(F.col("k") + 1) - cut(F.col("k"))).alias("piece"))
+    # Lengths of the pieces of a form up to 4 shorter or longer.
+    longest = F.greatest(F.lit(1), F.ceil((n + 4) / 5), F.when(n <= 13, 3).otherwise(1)).cast("int")
+    shortest = F.greatest(F.lit(1), F.floor(F.least((n - 4) / 3, (n - 4) / 5))).cast("int")
+    parts = forms.select("key", F.col("brand").alias("other"), n.alias("n"), F.explode(F.sequence(shortest, longest)).alias("size")).where("size <= n")
+    parts = parts.select("key", "other", "size", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))).alias("there"))
+    parts = parts.select("key", "other", "there", F.substring(F.col("other"), F.col("there") + 1, F.col("size")).alias("piece"))
+    met = pieces.join(parts, ["key", "piece"]).where("brand != other").where(F.abs(F.col("at") - F.col("there")) <= 4)
+    met = met.select("key", F.least("brand", "other").alias("brand"), F.greatest("brand", "other").alias("other")).distinct()
+    return met.where((F.greatest(n, F.length("other")) > 6) & (F.levenshtein("brand", "other") <= edits(F.least(n, F.length("other")))))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows ``(node, group)``: connected components by min-label steps with pointer jumping, checkpointed each round."""
     both = links.select("node", F.col("first").alias("other")).unionByName(links.select(F.col("first").alias("node"), F.col("node").alias("other"))).distinct()

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 from shelfmark.llm import listings
 
@@ -70,3 +71,44 @@ def test_groups(spark):
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (5, 4), (9, 8)], "node long, first long")
     assert {tuple(r) for r in listings.components(links).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (8, 8), (9, 8)}
+
+
+def test_size_neighbours_behind_another_size(spark):
+    names = ["Acme Cherry Bagels 480g", "Acme Cherry Bagels 500g", "Acme Cherry Bagels 17.6 oz"]
+    df = spark.createDataFrame([(i, n, "Acme", None, None, None, f"s{i}") for i, n in enumerate(names, 1)], SCHEMA)
+    brands = spark.createDataFrame(BRANDS, "brand_id long, brand string")
+    assert {tuple(r) for r in listings.listing_pairs(df, brands).collect()} == {(2, 3)}
+
+
+def test_typed_forms_without_common_ends(spark):
+    typed = ["Quavruppdole", "Quarvuppdale", "Tolmerrind"]
+    rows = [(i, "Cherry Bagels 75g", b, None, None, None, f"s{i}") for i, b in enumerate(typed, 1)]
+    rows += [(4, "Cherry Bagels 2.6 oz", "Quavruppdole", None, None, None, "s4")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    brands = spark.createDataFrame(BRANDS, "brand_id long, brand string")
+    assert {tuple(r) for r in listings.listing_pairs(df, brands).collect()} == {(1, 2), (1, 4), (2, 4)}
+
+
+def test_typed_pairs_against_brute_force(spark):
+    r = random.Random(6)
+    forms = set()
+    for _ in range(80):
+        word = "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 22)))
+        for _ in range(5):
+            w = list(word)
+            for _ in range(r.randint(0, 5)):
+                k = r.randrange(len(w) + 1)
+                w[k : k + r.randint(0, 1)] = r.choice(["", "x", "a"])
+            forms.add((r.randint(1, 2), "~" + "".join(w)))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {(k, a, b) for k, a in forms for q, b in forms if k == q and a < b and max(len(a), len(b)) > 6 and distance(a, b) <= (4 if min(len(a), len(b)) > 9 else 2)}
+    got = {tuple(x) for x in listings.typed_pairs(spark.createDataFrame(list(forms), "key long, brand string")).collect()}
+    assert got == want and len(want) > 100
