@@ -11,7 +11,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,6 +23,10 @@ from . import canonical, copies
 
 #: Sizes within this ratio are one size written in different units.
 SIZE_TOLERANCE = 0.025
+#: Words of the data that are read beside the lists, the most frequent ones.
+MOST_WORDS = 200_000
+#: A word on so many times more descriptions than names belongs to a stock phrase.
+STOCK_RATIO = 4
 
 # Kinds of product, each with its other names after "=".
 KINDS = """
@@ -56,6 +61,8 @@ _NO_BRAND = {"unbranded", "various", "na", "n", "tbc", "none", "unknown", "own",
 
 _G = {"g": 1.0, "gram": 1.0, "grams": 1.0, "kg": 1000.0, "kilo": 1000.0, "kilos": 1000.0, "kilogram": 1000.0, "lb": 453.59237, "lbs": 453.59237, "oz": 28.349523, "ounce": 28.349523, "ounces": 28.349523}
 _ML = {"ml": 1.0, "cl": 10.0, "l": 1000.0, "ltr": 1000.0, "litre": 1000.0, "litres": 1000.0, "floz": 28.4130625, "pint": 568.26125, "pints": 568.26125}
+#: What stays of a size that is written unusually.
+_LEAVINGS = {*_G, *_ML, "fl", "pack", "packs", "pk", "pc", "pcs", "piece", "pieces", "ct", "count", "set", "box", "case"}
 _NUM = r"\d+(?:[.,]\d+)?"
 _UNIT = r"fl[\s.:;,|/-]*oz|" + "|".join(sorted([*_G, *[u for u in _ML if u != "floz"]], key=len, reverse=True))
 _SIZE = re.compile(rf"(?<![\w.])(?:(?P<n1>\d+)\s*[x×]\s*)?(?P<v>{_NUM})\s*(?P<u>{_UNIT})\b\.?", re.I)
@@ -92,16 +99,26 @@ def _phrases(table: str, attribute: str, out: dict[tuple[str, ...], tuple[str, s
                 out[tuple(singular(w) for w in words) if bend else tuple(words)] = (attribute, " ".join(fold(name)))
 
 
+class Lists(NamedTuple):
+    """Known phrases, in the notation of the fixed values above; any may be empty."""
+
+    kinds: str = KINDS
+    flavours: str = FLAVOURS
+    types: str = TYPES
+    praise: str = PRAISE
+
+
 class Reader:
-    """Reads a listing into attributes, given the canonical brands."""
+    """Reads a listing into attributes, given the canonical brands, lists of phrases and words of the data that no list has."""
 
-    def __init__(self, brand_ids: list[int], brands: list[str]):
+    def __init__(self, brand_ids: list[int], brands: list[str], lists: Lists = Lists(), words: Iterable[str] = ()):
+        self.words = frozenset(words)
         self.exact: dict[tuple[str, ...], tuple[str, str]] = {}
         self.bent: dict[tuple[str, ...], tuple[str, str]] = {}
-        _phrases(KINDS, "kind", self.exact, False)
-        _phrases(TYPES, "type", self.exact, False)
-        _phrases(PRAISE, "praise", self.exact, False)
-        _phrases(FLAVOURS, "flavour", self.bent, True)
+        _phrases(lists.kinds, "kind", self.exact, False)
+        _phrases(lists.types, "type", self.exact, False)
+        _phrases(lists.praise, "praise", self.exact, False)
+        _phrases(lists.flavours, "flavour", self.bent, True)
         self.brands: dict[tuple[str, ...], str] = {}
         for i, b in zip(brand_ids, brands):
             if words := fold(b):
@@ -144,10 +161,16 @@ class Reader:
 
     def read(self, name: str | None, brand: str | None, category: str | None, description: str | None, highlights: str | None) -> tuple:
         """(brand, kind, flavour, type, dimension, size, count)"""
+        return self.read_all(name, brand, category, description, highlights)[:7]
+
+    def read_all(self, name: str | None, brand: str | None, category: str | None, description: str | None, highlights: str | None) -> tuple:
+        """As read, with the words of the name and of the description that are in ``words``, and the name's words that nothing explains."""
         name, description = _plain(name or ""), _plain(description or "")
         bare = _strip_sizes(name)
         got, rest = self.phrases(bare)
-        more, _ = self.phrases(re.sub(r"\bSold by\b.*", "", description))
+        named = sorted({singular(w) for w in rest} & self.words)
+        rest = [w for w in rest if singular(w) not in self.words]
+        more, other = self.phrases(re.sub(r"\bSold by\b.*", "", description))
         last, _ = self.phrases(category or "")
         for k in ("kind", "flavour", "type"):
             if k not in got and k in more:
@@ -180,7 +203,9 @@ class Reader:
                 dim, size = d2, s2
         if size is not None and count is None:
             count = 1
-        return who, got.get("kind"), got.get("flavour"), got.get("type"), dim, size, count
+        said = sorted({singular(w) for w in other} & self.words)
+        left = sorted({singular(w) for w in rest if w not in _SMALL and w not in _LEAVINGS and len(w) > 1 and not w[0].isdigit()}) if "brand" in got else []
+        return who, got.get("kind"), got.get("flavour"), got.get("type"), dim, size, count, named, said, left
 
 
 # Words added to brands that name nothing.
@@ -227,22 +252,22 @@ def measure(text: str) -> tuple[str | None, float | None, int | None]:
     return dim, size or None, count
 
 
-_READ = "brand string, kind string, flavour string, type string, dim string, size double, count int"
+_READ = "brand string, kind string, flavour string, type string, dim string, size double, count int, named array<string>, said array<string>, left array<string>"
 
 
-def attributes(df: DataFrame, brands: DataFrame, id_col: str, fields: tuple[str, str, str, str, str]) -> DataFrame:
-    """Rows ``(_id, brand, kind, flavour, type, dim, size, count)``. The list of brands is broadcast after a size check."""
+def attributes(df: DataFrame, brands: DataFrame, id_col: str, fields: tuple[str, str, str, str, str], lists: Lists = Lists(), words: Iterable[str] = ()) -> DataFrame:
+    """Rows ``(_id, brand, kind, flavour, type, dim, size, count, named, said, left)`` as of Reader.read_all. The list of brands is broadcast after a size check."""
     spark = df.sparkSession
     ship(spark)
     listed = brands.where("brand is not null").select(F.col("brand_id").cast("bigint"), "brand").orderBy("brand_id").limit(canonical.BLOCK + 1).collect()
     if len(listed) > canonical.BLOCK:
         raise ValueError(f"more than {canonical.BLOCK} brands; map brands with map_values first")
-    shared = spark.sparkContext.broadcast(([r[0] for r in listed], [r[1] for r in listed]))
+    shared = spark.sparkContext.broadcast(([r[0] for r in listed], [r[1] for r in listed], lists, list(words)))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(*shared.value)
         for b in batches:
-            rows = [(i, *reader.read(*f)) for i, f in zip(b["_id"], b[["f0", "f1", "f2", "f3", "f4"]].itertuples(index=False))]
+            rows = [(i, *reader.read_all(*f)) for i, f in zip(b["_id"], b[["f0", "f1", "f2", "f3", "f4"]].itertuples(index=False))]
             out = pd.DataFrame(rows, columns=["_id", *(x.split()[0] for x in _READ.split(", "))])
             out["count"] = out["count"].astype("Int32")
             yield out
@@ -255,17 +280,43 @@ def attributes(df: DataFrame, brands: DataFrame, id_col: str, fields: tuple[str,
 FIELDS = ("name", "brand", "category", "description", "highlights")
 
 
-def listing_groups(df: DataFrame, brands: DataFrame, id_col: str = "product_id", fields: tuple[str, str, str, str, str] = FIELDS) -> DataFrame:
+def readings(df: DataFrame, brands: DataFrame, id_col: str = "product_id", fields: tuple[str, str, str, str, str] = FIELDS, lists: Lists = Lists()) -> DataFrame:
+    """Rows ``(_id, brand, kind, flavour, type, dim, size, count, other, told)``, ``told`` if the listing can be compared.
+
+    ``other`` holds the words of the name that are on no list but in several names of listed
+    brands, or else those of the description. A word that descriptions have much oftener than
+    names is a stock phrase's and not read there. Listings are read twice only if there are such words.
+    """
+    read = checkpointed(attributes(df, brands, id_col, fields, lists))
+    found = read.select(F.explode("left").alias("word")).groupBy("word").count().where("count > 1")
+    found = {r["word"]: r["count"] for r in found.orderBy(F.desc("count"), "word").limit(MOST_WORDS).collect()}
+    stock: list[str] = []
+    if found:
+        read = checkpointed(attributes(df, brands, id_col, fields, lists, found))
+        said = read.select(F.explode("said").alias("word")).groupBy("word").count().collect()
+        stock = [r["word"] for r in said if r["count"] > STOCK_RATIO * found[r["word"]]]
+    words = F.when(F.size("named") > 0, F.col("named")).otherwise(F.array_except("said", F.array(*map(F.lit, stock)).cast("array<string>")))
+    other = F.when(F.size(words) > 0, F.concat_ws(" ", words))
+    what = (F.col("kind").isNotNull() & F.col("flavour").isNotNull()) | F.col("other").isNotNull()
+    return read.withColumn("other", other).drop("named", "said", "left").withColumn("told", F.col("brand").isNotNull() & F.col("count").isNotNull() & what)
+
+
+def unread(df: DataFrame, brands: DataFrame, id_col: str = "product_id", fields: tuple[str, str, str, str, str] = FIELDS, lists: Lists = Lists()) -> DataFrame:
+    """One row: how many listings there are, and how many are left a group of their own since they do not tell enough."""
+    return readings(df, brands, id_col, fields, lists).agg(F.count("*").alias("listings"), F.count(F.when(~F.col("told"), 1)).alias("unread"))
+
+
+def listing_groups(df: DataFrame, brands: DataFrame, id_col: str = "product_id", fields: tuple[str, str, str, str, str] = FIELDS, lists: Lists = Lists()) -> DataFrame:
     """Rows ``(id, group_id, links)``: the group of each listing (its smallest id) and to how many other listings it is linked.
 
-    A listing whose fields do not tell brand, kind, flavour, and size or number is a group of its
-    own. Equal listings are one node however many there are (map-side combined). A block's key
+    A listing whose fields do not tell brand, kind and flavour (or words of the data in their
+    place), and size or number is a group of its own. Equal listings are one node however many there are (map-side combined). A block's key
     holds all attributes but the size, by which its nodes are sorted: each gets one edge, to the
     one before it, if their sizes agree. Typed brands meet in a block of each two forms that agree.
     """
-    read = checkpointed(attributes(df, brands, id_col, fields))
-    told = read.where("brand is not null and kind is not null and flavour is not null and count is not null")
-    node = ["brand", "kind", "flavour", "type", "dim", "size", "count"]
+    read = readings(df, brands, id_col, fields, lists)
+    told = read.where("told")
+    node = ["brand", "kind", "flavour", "type", "other", "dim", "size", "count"]
     nodes = told.groupBy(*node).agg(F.min("_id").alias("node"), F.count("*").alias("n"))
 
     # A block holds the nodes that agree in all but the size: those of one brand, or of two typed forms of one.
@@ -329,9 +380,9 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "group")
 
 
-def listing_pairs(df: DataFrame, brands: DataFrame, id_col: str = "product_id", fields: tuple[str, str, str, str, str] = FIELDS) -> DataFrame:
+def listing_pairs(df: DataFrame, brands: DataFrame, id_col: str = "product_id", fields: tuple[str, str, str, str, str] = FIELDS, lists: Lists = Lists()) -> DataFrame:
     """Rows ``(id_a, id_b)``, ``id_a < id_b``: pairs of one group that are not formatting copies of each other."""
-    g = listing_groups(df, brands, id_col, fields).where("links > 0").select(id_col, "group_id")
+    g = listing_groups(df, brands, id_col, fields, lists).where("links > 0").select(id_col, "group_id")
     c = copies.copy_classes(df, id_col)
     g = checkpointed(g.join(c, id_col))
     a, b = (g.select("group_id", F.col(id_col).alias(f"{id_col}_{s}"), F.col("class_id").alias(f"class_{s}")) for s in "ab")

@@ -112,3 +112,36 @@ def test_typed_pairs_against_brute_force(spark):
     want = {(k, a, b) for k, a in forms for q, b in forms if k == q and a < b and max(len(a), len(b)) > 6 and distance(a, b) <= (4 if min(len(a), len(b)) > 9 else 2)}
     got = {tuple(x) for x in listings.typed_pairs(spark.createDataFrame(list(forms), "key long, brand string")).collect()}
     assert got == want and len(want) > 100
+
+
+UNKNOWN = [
+    (1, "Acme Tofu Blueberry 2 x 75g", "Acme", None, None, None, "s1"),
+    (2, "BLUEBERRIES - Tofu - 2 Pack 2.6 oz - Acme", "Acme", None, "A good deal of care", None, "s2"),
+    (3, "Acme Seitan Blueberry 2 x 75g", "Acme", None, None, None, "s3"),
+    (4, "Bell & Sons Seitan Yuzu 75g", None, None, None, None, "s4"),
+    (5, "Yuzu Seitan 2.6 oz Bell and Sons", None, None, None, None, "s5"),
+    (6, "Quavruppdole Tofu Blueberry 40g", "Quavruppdole", None, None, None, "s6"),
+    (7, "Tofu Blueberry Quavruppdole 40 g", None, None, None, None, "s7"),
+    (8, "Acme Keto Blueberry Bagels 75g", "Acme", None, None, None, "s8"),
+    (9, "Acme Blueberry Bagels 75g", "Acme", None, None, None, "s9"),
+    (10, "Acme Blueberry Bagels 75 g", None, None, "Variety: Keto", None, "s10"),
+    (11, "Keto Cherry Bagels 75g Acme", None, None, None, None, "s11"),
+    (12, "Acme 75g", "Acme", None, None, None, "s12"),
+    (13, "Acme Cherry Squash | x 75ml", "Acme", None, None, None, "s13"),
+    (14, "Acme x Squash Cherry 75 ml", "Acme", None, None, None, "s14"),
+    (15, "Acme Cherry Squash 7.5cl", "Acme", None, None, None, "s15"),
+]
+
+
+def test_words_on_no_list(spark):
+    df = spark.createDataFrame(UNKNOWN, SCHEMA)
+    brands = spark.createDataFrame(BRANDS, "brand_id long, brand string")
+    assert {tuple(r) for r in listings.listing_pairs(df, brands).collect()} == {(1, 2), (4, 5), (6, 7), (8, 10), (13, 14), (13, 15), (14, 15)}
+    assert [tuple(r) for r in listings.unread(df, brands).collect()] == [(15, 1)]
+
+
+def test_lists_are_arguments(spark):
+    df = spark.createDataFrame(UNKNOWN[:3] + UNKNOWN[11:12], SCHEMA)
+    brands = spark.createDataFrame(BRANDS, "brand_id long, brand string")
+    lists = listings.Lists(kinds="bean curd = tofu, seitan")
+    assert {tuple(r) for r in listings.listing_pairs(df, brands, lists=lists).collect()} == {(1, 2), (1, 3), (2, 3)}
