@@ -96,7 +96,7 @@ def _fields(lines: list[str]) -> tuple[float, int, float]:
     """Share of lines with the commonest number of fields, that number, and the share of numeric cells in them."""
     best = (0.0, 1, 0.0)
     for mark in ("|", "\t", ";", ",", "  "):
-        if sum(mark in ln for ln in lines[:50]) < 2:
+        if sum(mark in ln for ln in lines) < 2:
             continue
         split = [[c.strip().strip("\"'") for c in (re.split(r"\s{2,}", ln.strip()) if mark == "  " else (ln.strip().strip("|") if mark == "|" else ln).split(mark))] for ln in lines]
         widths = Counter(len(s) for s in split if len(s) > 2)

@@ -47,3 +47,9 @@ def test_best_language():
     w = quality.Words(COMMON)
     k, v, hits = w.counts(Counter("der hund und die katze in".split()))
     assert w.langs[k] == "de" and hits == 4 and v.sum() == 6
+
+
+def test_rows_behind_many_lines_of_text():
+    lines = ["Some text stands here"] * 60 + [f"{i} | {i * 3} | {i * 7}" for i in range(200)]
+    share, width, numeric = quality._fields(lines)
+    assert share == 200 / 260 and width == 3 and numeric == 1.0
