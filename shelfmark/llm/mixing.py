@@ -107,7 +107,7 @@ def mix(
     end = F.least(F.col("_at") + F.col("n_tokens"), (F.col("block") + 1) * block_tokens)
     pieces = pieces.select("source", "block", "id", (begin - F.col("_at")).alias("first_token"), (end - begin).alias("n_tokens"))
 
-    n_slots = (total_tokens if total_tokens is not None else total) // block_tokens
+    n_slots = -(-(total_tokens if total_tokens is not None else total) // block_tokens)
     per_shard = max(SHARD_SLOTS, n_slots // 100_000)
     n_shards = -(-n_slots // per_shard)
     names = [r["source"] for r in order]

@@ -150,3 +150,9 @@ def test_mix(spark):
     assert m.rows().agg({"n_tokens": "sum"}).first()[0] == sum(r["used_tokens"] for r in report.values())
     assert mixing.mix(df.limit(0), targets).report().where("used_tokens > 0").count() == 0
     assert mixing.mix(df, targets.limit(0)).rows().count() == 0
+
+
+def test_mix_of_less_than_one_block(spark):
+    df = spark.createDataFrame([(1, "a few words", "s")], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("s", 1.0, 2)], "source string, target_share double, max_repeats int")
+    assert [r["id"] for r in mixing.mix(df, targets).rows().collect()] == [1]
