@@ -26,6 +26,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MARK = np.uint64(0x100000001B3)
 _BREAK = np.uint32(0xFFFFFFFF)
 _APOSTROPHES = "'`´ʼ‘’"
+#: Rows of one part of a group whose pairs are listed.
+PAIR_ROWS = 1000
 
 
 @functools.cache
@@ -113,37 +115,77 @@ def stream_hash(texts: list[str], parts: bool, seed: int) -> np.ndarray:
     return out
 
 
-def _units(text: str, parts: bool) -> list[list[tuple[int, int]]]:
-    """Words as lists of (folded base, marks): what both pointers see after skipping."""
+def _folded(text: str, at: int, parts: bool) -> tuple[int, int, int]:
+    """Folded base, marks and kind of one code point; a decimal point between digits counts as a digit."""
     table, marks, kinds = fold_table()
-    words: list[list[tuple[int, int]]] = []
-    last = 0
-    for i, c in enumerate(text):
-        cp = ord(c)
-        b, m, k = int(table[cp]), int(marks[cp]), int(kinds[cp])
-        if parts and c == "." and 0 < i < len(text) - 1 and kinds[ord(text[i - 1])] == 1 and kinds[ord(text[i + 1])] == 1:
-            b, k = ord("."), 1
-        if b == 0:
-            if m and words and words[-1]:
-                words[-1][-1] = (words[-1][-1][0], words[-1][-1][1] + m)
-            continue
-        if b == _BREAK:
-            if parts:
-                last = 0
-            continue
-        if not words or (parts and k != last):
-            words.append([])
-        words[-1].append((b, m))
-        last = k
-    return words
+    cp = ord(text[at])
+    if parts and cp == 46 and 0 < at < len(text) - 1 and kinds[ord(text[at - 1])] == 1 and kinds[ord(text[at + 1])] == 1:
+        return 46, 0, 1
+    return int(table[cp]), int(marks[cp]), int(kinds[cp])
+
+
+def _next(text: str, at: int, end: int, parts: bool) -> tuple[int, int, int, bool, int]:
+    """The next unit from ``at`` on: its base, marks and kind, whether a break was skipped before it, and where it ends; base 0 at the end."""
+    broken = False
+    while at < end:
+        base, mark, kind = _folded(text, at, parts)
+        at += 1
+        if base == _BREAK:
+            broken = True
+        elif base:
+            while at < end:  # combining marks, and what is skipped among them
+                b, m, _ = _folded(text, at, parts)
+                if b:
+                    break
+                mark += m
+                at += 1
+            return base, mark, kind, broken, at
+    return 0, 0, 0, broken, at
+
+
+def _same_span(a: str, i: int, i_end: int, b: str, j: int, j_end: int, parts: bool, words: bool) -> bool:
+    """Two pointers over two stretches, each skipping what the table skips; with ``words`` they must break into words at the same places."""
+    kind = 0
+    while True:
+        x, xm, xk, x_broken, i = _next(a, i, i_end, parts)
+        y, ym, yk, y_broken, j = _next(b, j, j_end, parts)
+        if x != y or xm != ym:
+            return False
+        if not x:
+            return True
+        if words and kind and xk == yk == kind and x_broken != y_broken:
+            return False
+        kind = xk
+
+
+def _word_spans(text: str) -> list[tuple[int, int, int]]:
+    """(hash, start, end) of every word; only the spans are kept."""
+    out: list[tuple[int, int, int]] = []
+    at, last, h, start = 0, 0, 0, 0
+    while True:
+        base, mark, kind, broken, end = _next(text, at, len(text), True)
+        if last and (not base or broken or kind != last):
+            out.append((h, start, at))
+            h = 0
+        if not base:
+            return sorted(out)
+        if not h:
+            start = at
+        h = (h * 0x100000001B3 + base * 31 + mark + 1) & 0xFFFFFFFFFFFFFFFF
+        at, last = end, kind
 
 
 def same_content(a: str, b: str, parts: bool) -> bool:
-    """Two pointers over both texts, skipping what the table skips; with ``parts`` the words may be permuted."""
-    if a == b:
+    """Two pointers over both texts, skipping what the table skips; with ``parts`` the words may be permuted.
+
+    Permuted words are paired by their hashes and every pair is compared by two pointers in place.
+    """
+    if a == b or _same_span(a, 0, len(a), b, 0, len(b), parts, parts):
         return True
-    x, y = _units(a, parts), _units(b, parts)
-    return x == y or parts and len(x) == len(y) and sorted(x) == sorted(y)
+    if not parts:
+        return False
+    x, y = _word_spans(a), _word_spans(b)
+    return len(x) == len(y) and all(h == g and _same_span(a, i, i_end, b, j, j_end, True, False) for (h, i, i_end), (g, j, j_end) in zip(x, y))
 
 
 def _hashes(seed: int):
@@ -179,7 +221,7 @@ def copy_classes(df: DataFrame, id_col: str = "product_id", name: str = "name",
     seed = 0
     while True:
         hashed = rows.withColumn("_h", _hashes(seed)("_a", "_b")).select("_id", "_a", "_b", F.col("_h.h1").alias("_h1"), F.col("_h.h2").alias("_h2"))
-        keyed = hashed.where("_h1 != 0 or _h2 != 0")
+        keyed = checkpointed(hashed.where("_h1 != 0 or _h2 != 0"))  # hashed once, read by the grouping and the join
         firsts = keyed.groupBy("_h1", "_h2").agg(F.min(F.struct("_id", "_a", "_b")).alias("_r"), F.count("*").alias("_n")).where("_n > 1")
         met = keyed.join(firsts, ["_h1", "_h2"])
         checked = met.select("_id", F.col("_r._id").alias("_class"), F.pandas_udf(_same, "boolean")("_a", "_b", "_r._a", "_r._b").alias("_ok"))
@@ -200,11 +242,23 @@ def collapsed(df: DataFrame, id_col: str = "product_id", name: str = "name", sou
     return copy_classes(df, id_col, name, source).groupBy("class_id").agg(F.count("*").alias("copies"))
 
 
+def pairs_within(members: DataFrame, id_col: str, group: str, apart: str | None = None, most: int = PAIR_ROWS) -> DataFrame:
+    """Rows ``(id_a, id_b)``, ``id_a < id_b``: every pair of each group, less those equal in ``apart``.
+
+    A group of more than ``most`` rows is cut into k parts of about ``most`` rows, and every two
+    parts are joined under a key of their own, so that no task holds more than two parts however
+    large the group is. All pairs come out.
+    """
+    sizes = members.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1").select(group, F.ceil(F.col("_n") / most).cast("int").alias("_k"))
+    rows = members.join(sizes, group).withColumn("_part", F.pmod(F.xxhash64(id_col), F.col("_k")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
+    side = lambda s, i, j: rows.select(group, i.alias("_i"), j.alias("_j"), *(F.col(c).alias(f"{c}_{s}") for c in (id_col, *([apart] if apart else []))))
+    pairs = side("a", F.col("_part"), every).join(side("b", every, F.col("_part")), [group, "_i", "_j"]).where(F.col(f"{id_col}_a") < F.col(f"{id_col}_b"))
+    if apart:
+        pairs = pairs.where(~F.col(f"{apart}_a").eqNullSafe(F.col(f"{apart}_b")))
+    return pairs.select(f"{id_col}_a", f"{id_col}_b")
+
+
 def copy_pairs(df: DataFrame, id_col: str = "product_id", name: str = "name", source: str = "source_file") -> DataFrame:
-    """Rows ``(id_a, id_b)``, ``id_a < id_b``: the pairs within each class, by an equi-join on the class."""
-    c = copy_classes(df, id_col, name, source)
-    big = c.groupBy("class_id").count().where("count > 1").select("class_id")
-    c = c.join(big, "class_id", "left_semi")
-    a = c.select("class_id", F.col(id_col).alias(f"{id_col}_a"))
-    b = c.select("class_id", F.col(id_col).alias(f"{id_col}_b"))
-    return a.join(b, "class_id").where(F.col(f"{id_col}_a") < F.col(f"{id_col}_b")).select(f"{id_col}_a", f"{id_col}_b").distinct()
+    """Rows ``(id_a, id_b)``, ``id_a < id_b``: the pairs within each class; a repeated id pairs once."""
+    return pairs_within(checkpointed(copy_classes(df, id_col, name, source).distinct()), id_col, "class_id")
