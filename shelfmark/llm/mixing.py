@@ -4,7 +4,8 @@ The texts of each source are laid end to end and cut into blocks of a fixed numb
 tokens. Every output shard draws how many of its slots each source fills; the slots of a
 source are numbered through all shards, and slot ``k`` takes, in round ``k // blocks``, the
 block that a keyed permutation of the source's block indices gives. A source is used at most
-``max_repeats`` rounds; slots beyond that stay empty and show in the reported shares.
+``max_repeats`` rounds; slots beyond that stay empty. The report states, beside the shares
+reached, how many tokens of what was drawn are missing for that reason.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from . import tokens
 
 BLOCK_TOKENS = 1024
 SHARD_SLOTS = 1024
+#: Shards whose counts one window task sums up.
+EPOCH_SHARDS = 4096
 _MASK = (1 << 64) - 1
 
 
@@ -54,27 +57,35 @@ def permuted(index: np.ndarray, size: int, seed: int, source: int, turn: int) ->
 class Mix:
     """The parts of one mixture: ``supply`` (one row per source), ``pieces`` of blocks, and drawn ``slots``."""
 
-    def __init__(self, supply: DataFrame, pieces: DataFrame, slots: DataFrame):
-        self.supply, self.pieces, self.slots = supply, pieces, slots
+    def __init__(self, supply: DataFrame, pieces: DataFrame, slots: DataFrame, block_tokens: int):
+        self.supply, self.pieces, self.slots, self.block_tokens = supply, pieces, slots, block_tokens
 
     def rows(self) -> DataFrame:
         """The mixture: ``(shard, slot, source, turn, block, id, first_token, n_tokens)``, joined by (source, block)."""
-        return self.slots.join(self.pieces, ["source", "block"])
+        return self.slots.where("filled").drop("filled").join(self.pieces, ["source", "block"])
 
     def report(self) -> DataFrame:
-        """One row per source: target and actual share, what it holds, what was used, and whether it falls short.
+        """One row per source: target and actual share, what it holds, what was drawn, used and is missing, and whether it falls short.
 
-        ``short``: all its texts, each used ``max_repeats`` times, stay below the target share.
+        ``short``: the drawn slots use up all (or all but the scatter of the draws) that the source has within its repeats, and
+        exactly so by size: all its texts, each used ``max_repeats`` times, stay below the target share of all sources' tokens.
         """
         block_tokens = self.pieces.groupBy("source", "block").agg(F.sum("n_tokens").alias("n"))
-        used = self.slots.join(block_tokens, ["source", "block"]).groupBy("source").agg(F.sum("n").alias("used_tokens"), F.max(F.col("turn") + 1).alias("rounds"))
-        out = self.supply.join(used, "source", "left")
-        all_used = F.sum(F.coalesce("used_tokens", F.lit(0))).over(Window.partitionBy())  # a row per source
+        drawn = self.slots.groupBy("source").agg(F.count("*").alias("slots"), F.count(F.when(~F.col("filled"), 1)).alias("empty"))
+        used = self.slots.where("filled").join(block_tokens, ["source", "block"]).groupBy("source").agg(F.sum("n").alias("used_tokens"), F.max(F.col("turn") + 1).alias("rounds"))
+        out = self.supply.join(drawn, "source", "left").join(used, "source", "left").na.fill(0, ["slots", "empty", "used_tokens", "rounds"])
+        all_used = F.sum("used_tokens").over(Window.partitionBy())  # a row per source
+        scatter = 6 * F.sqrt(F.col("slots") + 1) + F.col("max_repeats") + 1  # in slots: of the draws, and of the last block of each round
+        spent = F.col("used_tokens") + scatter * self.block_tokens >= F.col("tokens") * F.col("max_repeats")
         return out.select(
-            "source", "target_share", "max_repeats", "tokens", F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), F.coalesce("rounds", F.lit(0)).cast("bigint").alias("rounds"),
-            F.round(F.coalesce(F.try_divide("used_tokens", all_used), F.lit(0.0)), 4).alias("actual_share"), "short",
+            "source", "target_share", "max_repeats", "tokens", "used_tokens", (F.col("empty") * self.block_tokens).alias("missing_tokens"), F.col("rounds").cast("bigint").alias("rounds"),
+            F.round(F.coalesce(F.try_divide("used_tokens", all_used), F.lit(0.0)), 4).alias("actual_share"), (spent & F.col("below")).alias("short"),
         )
 
+    def short_sources(self) -> DataFrame:
+        """Sources that cannot reach their share, by the drawn mixture."""
+        return self.report().where("short").select("source")
+
 
 def mix(
     df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
@@ -97,7 +108,7 @@ def mix(
     rows = wanted.join(held, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("texts", F.lit(0)).alias("texts")).collect()
     total = sum(r["tokens"] for r in rows)
     order = sorted(rows, key=lambda r: r["source"])
-    schema = "source string, target_share double, max_repeats int, tokens bigint, short boolean"
+    schema = "source string, target_share double, max_repeats int, tokens bigint, below boolean"
     supply = spark.createDataFrame([(r["source"], r["target_share"], r["max_repeats"], r["tokens"], r["tokens"] * r["max_repeats"] < r["target_share"] * total) for r in order], schema)
 
     placed = tokens.offset_within(docs.where("n_tokens > 0"), "source", ["_row"], "n_tokens", sum(r["texts"] for r in rows), "_at")
@@ -108,8 +119,7 @@ def mix(
     pieces = pieces.select("source", "block", "id", (begin - F.col("_at")).alias("first_token"), (end - begin).alias("n_tokens"))
 
     n_slots = -(-(total_tokens if total_tokens is not None else total) // block_tokens)
-    per_shard = max(SHARD_SLOTS, n_slots // 100_000)
-    n_shards = -(-n_slots // per_shard)
+    n_shards = -(-n_slots // SHARD_SLOTS)
     names = [r["source"] for r in order]
     shares = np.array([r["target_share"] for r in order], float)
     shares = shares / shares.sum() if len(shares) and shares.sum() > 0 else shares
@@ -119,29 +129,35 @@ def mix(
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard in batch["id"]:
-                size = min(per_shard, n_slots - int(shard) * per_shard)
+                size = min(SHARD_SLOTS, n_slots - int(shard) * SHARD_SLOTS)
                 counts = np.random.default_rng([seed, int(shard)]).multinomial(size, shares)
                 yield pd.DataFrame({"shard": int(shard), "k": np.arange(len(names)), "n": counts})
 
     draws = spark.range(n_shards).mapInPandas(drawn, "shard bigint, k int, n bigint") if len(names) else spark.createDataFrame([], "shard bigint, k int, n bigint")
-    before = Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    # Slots of a source are numbered through all shards: within epochs of shards, and by the totals of the epochs before.
+    draws = draws.withColumn("epoch", F.floor(F.col("shard") / EPOCH_SHARDS))
+    epochs = draws.groupBy("k", "epoch").agg(F.sum("n").alias("sum"))
+    earlier = Window.partitionBy("k").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+    epochs = epochs.select("k", "epoch", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("start"))
+    before = Window.partitionBy("k", "epoch").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("shard").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    draws = checkpointed(draws.select("shard", "k", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("slot")))
+    draws = draws.withColumns({"first": F.coalesce(F.sum("n").over(before), F.lit(0)), "slot": F.coalesce(F.sum("n").over(inside), F.lit(0))}).join(epochs, ["k", "epoch"])
+    draws = checkpointed(draws.select("shard", "k", "n", (F.col("first") + F.col("start")).alias("first"), "slot"))
 
     def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard, k, n, first, slot in batch[["shard", "k", "n", "first", "slot"]].itertuples(index=False):
-                size = blocks[k]
-                if not size or not n:
+                if not n:
                     continue
+                size = blocks[k]
                 ordinal = first + np.arange(n)
-                turn = ordinal // size
-                keep = turn < repeats[k]
-                ordinal, turn, at = ordinal[keep], turn[keep], (slot + np.arange(n))[keep]
-                index = np.zeros(len(ordinal), np.int64)
-                for t in np.unique(turn):
-                    index[turn == t] = permuted(ordinal[turn == t] % size, size, seed, int(k), int(t))
-                yield pd.DataFrame({"shard": shard, "slot": at, "source": names[k], "turn": turn, "block": index})
-
-    slots = draws.mapInPandas(taken, "shard bigint, slot bigint, source string, turn bigint, block bigint")
-    return Mix(supply, pieces, slots)
+                turn = ordinal // max(1, size)
+                filled = (turn < repeats[k]) & (size > 0)
+                index = np.zeros(n, np.int64)
+                for t in np.unique(turn[filled]):
+                    now = filled & (turn == t)
+                    index[now] = permuted(ordinal[now] % size, size, seed, int(k), int(t))
+                yield pd.DataFrame({"shard": shard, "slot": slot + np.arange(n), "source": names[k], "turn": turn, "block": index, "filled": filled})
+
+    slots = draws.mapInPandas(taken, "shard bigint, slot bigint, source string, turn bigint, block bigint, filled boolean")
+    return Mix(supply, pieces, slots, block_tokens)

@@ -99,7 +99,7 @@ def _mix(spark: SparkSession, d: str) -> mixing.Mix:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d).report().where("short").select("source")
+    return _mix(spark, d).short_sources()
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
