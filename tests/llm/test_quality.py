@@ -16,12 +16,13 @@ JUNK = ["click CLICK click!!! click click CLICK click click!!! click click CLICK
 
 def test_divergence_bounds():
     p = np.array([1.0, 0, 0])
-    assert quality.divergence(p, p) == 0 and quality.divergence(p, np.array([0, 1.0, 0])) == pytest.approx(1) and quality.divergence(p, np.zeros(3)) == 1
+    got = quality.divergences(np.stack([p, p, p]), np.array([p, [0, 1.0, 0], np.zeros(3)]))
+    assert got.tolist() == pytest.approx([0, 1, 1])
     a, b = np.array([3.0, 1]), np.array([1.0, 1])
     pa, pb = a / 4, b / 2
     m = (pa + pb) / 2
     want = 0.5 * sum(x * math.log2(x / y) for x, y in zip(pa, m)) + 0.5 * sum(x * math.log2(x / y) for x, y in zip(pb, m))
-    assert quality.divergence(a, b) == pytest.approx(want)
+    assert quality.divergences(a[None], b)[0] == pytest.approx(want)
 
 
 def test_kinds_and_counts(spark):
@@ -53,3 +54,23 @@ def test_rows_behind_many_lines_of_text():
     lines = ["Some text stands here"] * 60 + [f"{i} | {i * 3} | {i * 7}" for i in range(200)]
     share, width, numeric = quality._fields(lines)
     assert share == 200 / 260 and width == 3 and numeric == 1.0
+
+
+# Prose in languages that have no list of common words, and lists and junk beside it.
+OTHERS = [
+    "El pan de la casa se hace con harina y agua, y se deja en la mesa hasta que la masa sube un poco más. Después se pone en el horno y se sirve con queso.",
+    "Domowy chleb piecze się z mąki i wody, a ciasto zostawia się na stole aż urośnie. Potem wkłada się je do pieca i podaje z serem, a na koniec smaruje masłem.",
+    "Домашний хлеб пекут из муки и воды, а тесто оставляют на столе, пока оно не поднимется. Потом его ставят в печь и подают с сыром, маслом и солью.",
+    "这种面包是用面粉和水做成的，面团要在桌子上放到发起来为止。然后把它放进烤箱里烤好，最后和奶酪一起端上来给大家吃。",
+    "Το ψωμί του σπιτιού γίνεται με αλεύρι και νερό, και η ζύμη μένει στο τραπέζι μέχρι να φουσκώσει. Μετά μπαίνει στον φούρνο και σερβίρεται με τυρί.",
+    "Il pane della casa si fa con farina e acqua, e si lascia sulla tavola finché la pasta non cresce un poco. Poi si mette nel forno e si serve con il formaggio.",
+]
+OTHER_LISTS = ["сахар\nмука\nсоль\nоливковое масло\nмёд\nрис\nчёрный перец\nмолоко", "糖\n面粉\n盐\n橄榄油\n蜂蜜\n大米\n黑胡椒\n牛奶"]
+
+
+def test_languages_without_a_profile(spark):
+    docs = list(enumerate([*PROSE, *OTHERS, *OTHER_LISTS, *JUNK, "соль " * 40]))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [r["kind"] for r in sorted(quality.document_statistics(df, spark.createDataFrame(COMMON, "lang string, word string")).collect())]
+    n = len(PROSE) + len(OTHERS)
+    assert got[:n] == ["prose"] * n and got[n : n + 2] == ["list"] * 2 and got[n + 2 :] == ["junk"] * (len(JUNK) + 1)
