@@ -31,11 +31,23 @@ PAIR_ROWS = 1000
 
 
 @functools.cache
-def fold_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: folded base (0 skips, ``_BREAK`` ends a word), sum of combining marks, and kind (1 digit, 2 letter)."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     size = sys.maxunicode + 1
-    base, mark, kind = np.full(size, _BREAK, np.uint32), np.zeros(size, np.uint32), np.zeros(size, np.uint8)
-    for cp in range(size):
+    return np.full(size, _BREAK, np.uint32), np.zeros(size, np.uint32), np.zeros(size, np.uint8), np.zeros(size, bool)
+
+
+def fold_table(codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: folded base (0 skips, ``_BREAK`` ends a word), sum of combining marks, and kind (1 digit, 2 letter).
+
+    Right for the code points of ``codes`` (by default all) and those asked for before; filled when they are first met.
+    """
+    base, mark, kind, known = _tables()
+    asked = np.ones(len(known), bool)
+    if codes is not None:
+        asked[:] = False
+        asked[codes] = True
+    for cp in np.flatnonzero(asked & ~known).tolist():
+        known[cp] = True
         c = chr(cp)
         cat = unicodedata.category(c)
         if cat in ("Cn", "Co", "Cs"):
@@ -70,7 +82,7 @@ def stream_hash(texts: list[str], parts: bool, seed: int) -> np.ndarray:
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(codes):
         return out
-    table, marks, kinds = fold_table()
+    table, marks, kinds = fold_table(codes)
     row = np.repeat(np.arange(n), lengths)
     base, mark, kind = table[codes], marks[codes].astype(np.uint64), kinds[codes]
     same_row = np.concatenate(([False], row[1:] == row[:-1]))
@@ -115,13 +127,18 @@ def stream_hash(texts: list[str], parts: bool, seed: int) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=100_000)
+def _fold(c: str) -> tuple[int, int, int]:
+    base, mark, kind = fold_table(np.array([ord(c)]))
+    return int(base[ord(c)]), int(mark[ord(c)]), int(kind[ord(c)])
+
+
 def _folded(text: str, at: int, parts: bool) -> tuple[int, int, int]:
     """Folded base, marks and kind of one code point; a decimal point between digits counts as a digit."""
-    table, marks, kinds = fold_table()
-    cp = ord(text[at])
-    if parts and cp == 46 and 0 < at < len(text) - 1 and kinds[ord(text[at - 1])] == 1 and kinds[ord(text[at + 1])] == 1:
+    c = text[at]
+    if c == "." and parts and 0 < at < len(text) - 1 and _fold(text[at - 1])[2] == 1 and _fold(text[at + 1])[2] == 1:
         return 46, 0, 1
-    return int(table[cp]), int(marks[cp]), int(kinds[cp])
+    return _fold(c)
 
 
 def _next(text: str, at: int, end: int, parts: bool) -> tuple[int, int, int, bool, int]:
