@@ -10,6 +10,7 @@ exact check then drops a label whose leaf holds no mark that could set it.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import zlib
@@ -73,6 +74,8 @@ _INLINE = [
 class Leaf(NamedTuple):
     text: str
     path: tuple[str, ...]
+    mark: str = ""  # what is written before it if it is a heading or an item, with its level or number
+    row: int = 0  # number of the table row it is a cell of
 
 
 def _lines(text: str, path: tuple[str, ...], out: list[Leaf]) -> None:
@@ -104,15 +107,34 @@ def _math(text: str, path: tuple[str, ...], out: list[Leaf]) -> None:
     _plain_lines(text[at:], path, out)
 
 
+def _line_mark(name: str, line: str) -> str:
+    """What stands before a heading or an item in clean text, by the mark of its line."""
+    bare = line.strip()
+    indent = "  " * ((len(line) - len(line.lstrip())) // 2)
+    if name == "wiki:==":
+        return "#" * (len(bare) - len(bare.lstrip("="))) + " "
+    if name in ("md:##", "md:# #", "line:#"):
+        return "#" * (len(bare) - len(bare.lstrip("#"))) + " "
+    if name == "tex:section":
+        return "#" * (1 + bare.count("sub", 0, bare.index("{")) + (3 if "paragraph" in bare[: bare.index("{")] else 0)) + " "
+    if name in ("line:*", "line:*.", "line:#."):
+        signs = re.match(r"[*#:]+", bare).group()
+        return indent + "  " * (len(signs) - 1) + ("1. " if signs[-1] == "#" else "- ")
+    if name == "line:1.":
+        return f"{indent}{re.match(r'[0-9]+', bare).group()}. "
+    return indent + "- " if name in ("line:-", "tex:item") else ""
+
+
 def _plain_lines(text: str, path: tuple[str, ...], out: list[Leaf]) -> None:
     for line in text.split("\n"):
         if not line.strip():
             continue
         own = list(path)
-        body = line.strip()
+        body, mark = line.strip(), ""
         for name, pattern in _LINE:
             if m := pattern.match(line):
                 own.append(name)
+                mark = _line_mark(name, line)
                 body = m.group(m.lastindex) if m.lastindex else ""
                 break
         for name, pattern in _INLINE:
@@ -122,7 +144,8 @@ def _plain_lines(text: str, path: tuple[str, ...], out: list[Leaf]) -> None:
             own.append("entity")
         for k, part in enumerate(_TICKS.split(body)):
             if part.strip():
-                out.append(Leaf(part, (*own, "code:`") if k % 2 else tuple(own)))
+                out.append(Leaf(part, (*own, "code:`") if k % 2 else tuple(own), mark))
+                mark = ""
 
 
 def leaves(text: str) -> list[Leaf]:
@@ -134,8 +157,25 @@ def leaves(text: str) -> list[Leaf]:
     path: list[str] = []
     buffer: list[str] = []
     inline: list[str] = []
+    lists: list[list] = []  # open lists as [ordered, items so far, whether the item has no text yet]
+    row = 0
 
     def flush() -> None:
+        first = len(out)
+        collect()
+        heading = next((t for t in reversed(path) if t[0] == "h" and t[1:].isdigit()), None)
+        cell = any(t in ("td", "th") for t in path)
+        for k in range(first, len(out)):
+            mark = out[k].mark
+            if heading:
+                mark = "#" * int(heading[1:]) + " "
+            elif lists and not mark:
+                ordered, n, fresh = lists[-1]
+                mark = "  " * (len(lists) - 1) + ((f"{n}. " if ordered else "- ") if fresh else "  ")
+                lists[-1][2] = False
+            out[k] = out[k]._replace(mark=mark, row=row if cell else 0)
+
+    def collect() -> None:
         joined = "".join(buffer)
         buffer.clear()
         marks = (*base, *(f"html:{t}" for t in path), *sorted(set(inline)))
@@ -181,6 +221,8 @@ def leaves(text: str) -> list[Leaf]:
                 inline.append("html:br")
                 continue
             if m["close"]:
+                if tag in ("ul", "ol") and lists:
+                    lists.pop()
                 if tag in path:
                     while path.pop() != tag:
                         pass
@@ -191,6 +233,12 @@ def leaves(text: str) -> list[Leaf]:
                     while path.pop() != tag:
                         pass
                 path.append(tag)
+                if tag in ("ul", "ol"):
+                    lists.append([tag == "ol", 0, True])
+                elif tag == "li" and lists:
+                    lists[-1][1:] = [lists[-1][1] + 1, True]
+                elif tag == "tr":
+                    row += 1
             continue
         inline.append("html:inline")
     if not silent:
@@ -199,15 +247,23 @@ def leaves(text: str) -> list[Leaf]:
     return out
 
 
+_WORDS = re.compile(r"[^\W_]+|[^\w\s]")
+
+
+@functools.lru_cache(maxsize=200_000)
+def _bin(word: str) -> int:
+    return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_BINS
+
+
 def features(seq: list[Leaf]) -> np.ndarray:
     """One row per leaf: hashed path elements, hashed words, and a few shapes."""
     x = np.zeros((len(seq), PATH_BINS + WORD_BINS + SHAPES), np.float32)
     for i, leaf in enumerate(seq):
         for p in leaf.path:
             x[i, zlib.crc32(p.encode()) % PATH_BINS] = 1.0
-        words = re.findall(r"[^\W_]+|[^\w\s]", leaf.text)
-        for w in words[:24]:
-            x[i, PATH_BINS + zlib.crc32(w.lower().encode()) % WORD_BINS] += 1.0 / min(24, len(words))
+        words = _WORDS.findall(leaf.text)
+        for w in words:
+            x[i, PATH_BINS + _bin(w)] += 1.0 / len(words)
         t, k = leaf.text, PATH_BINS + WORD_BINS
         n = max(1, len(t))
         x[i, k : k + SHAPES] = (
@@ -304,11 +360,17 @@ def _inner(text: str) -> str:
 
 
 def rendered(text: str, seq: list[Leaf], labels: list[int]) -> str:
-    """Clean text: headings as ``# x``, items as ``- x``, code between fences, formulas between dollars; unmarked text as it is."""
+    """Clean text: headings as ``## x`` by level, items as ``- x`` or ``2. x`` set in by depth, cells of a row with bars, code between fences, formulas between dollars; unmarked text as it is."""
     if not any(labels):
         return text
     out: list[str] = []
+    last = 0
     for leaf, label in zip(seq, labels):
+        if leaf.row and leaf.row == last and out and label not in (4, 5):
+            if t := _inner(leaf.text):
+                out[-1] += f" | {t}"
+            continue
+        last = leaf.row
         if label == 4:
             out.append(f"```\n{html.unescape(leaf.text)}\n```" if "\n" in leaf.text or "code:`" not in leaf.path else f"`{leaf.text}`")
         elif label == 5:
@@ -316,7 +378,8 @@ def rendered(text: str, seq: list[Leaf], labels: list[int]) -> str:
         elif any(p in ("wiki:{{", "wiki:|", "wiki:}}", "tex:begin", "line:=====", "line:-----") for p in leaf.path) and label < 2 or not (t := _inner(leaf.text)) or leaf.path[-1:] in (("line:=====",), ("line:-----",)):
             continue
         else:
-            out.append(f"# {t}" if label == 2 else f"- {t}" if label == 3 else t)
+            is_heading = leaf.mark.startswith("#")
+            out.append((leaf.mark if is_heading else "# ") + t if label == 2 else (leaf.mark if leaf.mark and not is_heading else "- ") + t if label == 3 else t)
     return "\n".join(out)
 
 

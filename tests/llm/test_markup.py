@@ -45,7 +45,7 @@ def test_rendering_keeps_structure(model):
     seq = markup.leaves(text)
     labels = [markup.checked(leaf, k) for leaf, k in zip(seq, model.label([seq])[0])]
     clean = markup.rendered(text, seq, labels)
-    assert clean.splitlines()[0] == "# Soup & bread" and "- one" in clean and "```\na = 1\nb = 2\n```" in clean and "<" not in clean
+    assert clean.splitlines()[0] == "## Soup & bread" and "- one" in clean and "```\na = 1\nb = 2\n```" in clean and "<" not in clean
 
 
 def test_batches_do_not_change_labels(model):
@@ -81,3 +81,21 @@ def test_table(spark):
     got = sorted((r["id"], r["field"], r["kinds"], r["clean"][:9]) for r in markup.labelled(df, "id", ["a", "b"]).collect())
     assert got == [(1, "a", ["markup"], "a"), (1, "a", ["markup"], "a"), (2, "b", [], "plain"), (3, "a", [], ""), (3, "b", ["markup"], "x x x x x")]
     assert markup.labelled(df.limit(0), "id", ["a"]).count() == 0
+
+
+def test_levels_numbers_and_rows_are_kept():
+    text = "<h1>Bread</h1><p>Some text on bread and flour.</p><h3>Steps</h3><ol><li>Mix the flour<ul><li>white flour</li><li>rye flour</li></ul></li><li>Bake it</li></ol><table><tr><td>Flour</td><td>500 g</td></tr><tr><td>Salt</td><td>9 g</td></tr></table>"
+    seq = markup.leaves(text)
+    model = markup.Labeller(markup.Labeller.load())
+    labels = [markup.checked(leaf, k) for leaf, k in zip(seq, model.label([seq])[0])]
+    assert markup.rendered(text, seq, labels).split("\n") == ["# Bread", "Some text on bread and flour.", "### Steps", "1. Mix the flour", "  - white flour", "  - rye flour", "2. Bake it", "Flour | 500 g", "Salt | 9 g"]
+
+
+def test_levels_of_line_marks():
+    marks = [leaf.mark for leaf in markup.leaves("== A ==\n=== B ===\n## C\n\\subsection{D}\n* x\n** y\n## z ##\n 3. q\n  - r")]
+    assert marks == ["## ", "### ", "## ", "## ", "- ", "  - ", "## ", "3. ", "  - "]
+
+
+def test_all_words_of_a_leaf_are_read():
+    a, b = (markup.features([markup.Leaf("word " * 40 + end, ())]) for end in ("alpha", "omega beta"))
+    assert (a != b).any()
