@@ -13,6 +13,7 @@ reduces its expected counts to at most that many cells before the shuffle.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import math
@@ -33,7 +34,7 @@ _CELLS = ROWS * BUCKETS
 CLASSES = ("break", "bar", "semicolon", "bullet", "comma", "slash", "tight slash", "dash")
 _FIRST_SPLIT = np.array([0.95, 0.95, 0.95, 0.95, 0.9, 0.6, 0.05, 0.2])
 _TIGHT = CLASSES.index("tight slash")
-#: Atoms that one value joins at most.
+#: Atoms that one value joins at most across delimiters that rather split; across those that rather do not, any number.
 SPAN = 3
 #: Base measure of one atom, as a negative log.
 _BASE = 14.0
@@ -89,11 +90,30 @@ def _class_at(text: str, i: int) -> int:
     return 7 if c in "-–" and spaced else -1
 
 
+_SIGNS = re.compile(r"""[\n\r\t|;•·,/\-–()\[\]{}"'“‘]""")
+
+
+def _closers(text: str) -> dict[int, int]:
+    """Where each closed bracket ends. A bracket that is never closed is an ordinary character."""
+    out: dict[int, int] = {}
+    opened: list[int] = []
+    for m in _BRACKET.finditer(text):
+        if (c := m.group()) in _BRACKETS:
+            opened.append(m.start())
+        elif opened and _BRACKETS[text[opened[-1]]] == c:
+            out[opened.pop()] = m.start()
+    return out
+
+
+_BRACKET = re.compile(r"[()\[\]{}]")
+
+
 def lattice(text: str) -> tuple[list[tuple[int, int]], list[int]]:
-    """Atoms as (start, end), and the class of the delimiter after each atom but the last; empty atoms are skipped."""
+    """Atoms as (start, end), and the class of the delimiter after each atom but the last; empty atoms are skipped. Linear in the text."""
     atoms: list[tuple[int, int]] = []
     between: list[int] = []
-    start, i, n, depth, pending, fresh = 0, 0, len(text), [], -1, True
+    start, at, pending = 0, 0, -1
+    closers = _closers(text) if _BRACKET.search(text) else {}
 
     def close(end: int) -> None:
         nonlocal pending
@@ -103,34 +123,26 @@ def lattice(text: str) -> tuple[list[tuple[int, int]], list[int]]:
             atoms.append((start, end))
             pending = -1
 
-    while i < n:
-        c = text[i]
-        if fresh and not depth and c in _QUOTES and (j := _closing_quote(text, i, _QUOTES[c])) >= 0:
-            i, fresh = j + 1, False
-            continue
-        if c in _BRACKETS:
-            depth.append(_BRACKETS[c])
-        elif depth and c == depth[-1]:
-            depth.pop()
-        elif not depth and (k := _class_at(text, i)) >= 0:
+    fresh = 0  # the atom has no text before here
+    while m := _SIGNS.search(text, at):
+        i, c = m.start(), m.group()
+        at = i + 1
+        if c in _QUOTES:
+            if not text[fresh:i].strip() and (j := _closing_quote(text, i, _QUOTES[c])) >= 0:
+                at = j + 1
+        elif c in _BRACKETS:
+            at = closers.get(i, i) + 1
+        elif (k := _class_at(text, i)) >= 0:
             close(i)
             pending = k if pending < 0 else min(pending, k)
-            start, fresh = i + 1, True
-            i += 1
-            continue
-        if not c.isspace():
-            fresh = False
-        i += 1
-    if depth:  # an unclosed bracket hides no delimiter: read it as an ordinary character
-        opened = max(text.rfind(b) for b in "([{")
-        return lattice(text[:opened] + "\x02" + text[opened + 1 :]) if opened >= 0 else (atoms, between)
-    close(n)
+            start = fresh = i + 1
+    close(len(text))
     return atoms, between
 
 
 def value_text(raw: str) -> str:
     """The value as it is returned: quotes around it removed, doubled inner ones made single, white space collapsed."""
-    raw = " ".join(raw.replace("\x02", "(").split())
+    raw = " ".join(raw.split())
     if raw and raw[0] in _QUOTES:
         q = _QUOTES[raw[0]]
         end = _closing_quote(raw, 0, q)
@@ -139,10 +151,19 @@ def value_text(raw: str) -> str:
     return " ".join(raw.split())
 
 
+@functools.lru_cache(maxsize=200_000)
 def _normal(value: str) -> str:
     """What counts as the same value when frequencies are learned: letter case, numbers, bracketed notes and punctuation do not matter."""
-    value = re.sub(r"\([^()]*\)|\[[^\[\]]*\]|[\d.,%]+", "", value.lower())
-    return " ".join(re.findall(r"[^\W_]+", value))
+    return " ".join(_WORD.findall(_NOTE.sub("", value.lower())))
+
+
+_NOTE, _WORD = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|[\d.,%]+"), re.compile(r"[^\W_]+")
+
+
+@functools.lru_cache(maxsize=500_000)
+def _cells(name: str) -> tuple[int, ...]:
+    h = int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return tuple(r * BUCKETS + (h >> 17 * r) % BUCKETS for r in range(ROWS))
 
 
 class Model:
@@ -157,26 +178,37 @@ class Model:
     def __init__(self, counts: np.ndarray, split: np.ndarray):
         self.counts, self.split = counts, split
         self.total = float(counts[:BUCKETS].sum())
+        # What other values add to a cell on average is taken off, so that a full sketch does not make every value known.
+        self.known = np.maximum(0.0, counts - (self.total - counts) / (BUCKETS - 1)).tolist()
         self.log_split, self.log_join = np.log(split).tolist(), np.log1p(-split).tolist()
+        self.rather = (split >= 0.5).tolist()
+        self.base = [math.exp(-_BASE * w) for w in range(40)]
 
     def arcs(self, text: str, atoms: list[tuple[int, int]], between: list[int]) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each end atom: (first atom, cells of the value, log score) of the values that end there."""
         out: list[list[tuple[int, tuple[int, ...], float]]] = []
         normal = [_normal(text[a:b]) for a, b in atoms]
+        known, base, total = self.known, self.base, self.total
         for j in range(len(atoms)):
             row = []
-            joined, name, width = 0.0, normal[j], 1
-            for i in range(j, max(-1, j - SPAN), -1):
+            joined, name, width, hard = 0.0, normal[j], 1, False
+            for i in range(j, -1, -1):
                 if i < j:
-                    joined += self.log_join[between[i]]
-                    width += between[i] != _TIGHT
-                    name = f"{normal[i]}{between[i]}{name}"
-                h = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
-                cells = tuple(r * BUCKETS + (h >> 17 * r) % BUCKETS for r in range(ROWS))
-                p = math.exp(-_BASE * width)
-                if self.total:
-                    p += max(0.0, min(float(self.counts[c]) for c in cells) - 1.0) / self.total
-                row.append((i, cells, math.log(p) + joined + (self.log_split[between[i - 1]] if i else 0.0)))
+                    k = between[i]
+                    hard = hard or self.rather[k]
+                    if hard and j - i >= SPAN:
+                        break
+                    joined += self.log_join[k]
+                    width += k != _TIGHT
+                    name = f"{normal[i]}{k}{name}"
+                cells = _cells(name)
+                p = base[width] if width < 40 else 1e-300
+                if total:
+                    x, y, z = cells
+                    n = min(known[x], known[y], known[z]) - 1.0
+                    if n > 0:
+                        p += n / total
+                row.append((i, cells, math.log(max(p, 1e-300)) + joined + (self.log_split[between[i - 1]] if i else 0.0)))
             out.append(row)
         return out
 
@@ -212,16 +244,17 @@ class Model:
         for j, row in enumerate(arcs, 1):
             for i, cells, s in row:
                 p = math.exp(min(0.0, fwd[i] + s + bwd[j] - fwd[n]))
-                if p > 1e-4:
-                    for c in cells:
-                        counts[c] = counts.get(c, 0.0) + p
-                    if i:
-                        splits[0, between[i - 1]] += p
+                for c in cells:
+                    counts[c] = counts.get(c, 0.0) + p
+                if i:
+                    splits[0, between[i - 1]] += p
         for k in between:
             splits[1, k] += 1
 
 
 def _log_sum(xs: list[float]) -> float:
+    if len(xs) == 1:
+        return xs[0]
     top = max(xs)
     return top + math.log(sum(math.exp(x - top) for x in xs))
 

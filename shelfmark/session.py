@@ -1,4 +1,4 @@
-"""Session helpers: table access, checkpoints and bounded broadcasts."""
+"""Session helpers: table access, shared folders and checkpoints."""
 
 from __future__ import annotations
 
@@ -9,10 +9,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Widest side, in rows, that the engine ever marks for broadcast by itself.
-BROADCAST_ROWS = 200_000
-
-
 _shipped: set[str] = set()
 
 
@@ -36,20 +32,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan cut into at least as many partitions as there are cores, for Python-heavy work on small tables; larger ones stay as they are."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+    """A scan of fewer bytes than one partition a core, cut into as many partitions as there are cores, for Python-heavy work; larger ones stay as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    widest = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
+    return df if size >= cores * widest else df.repartition(cores)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder, so a lost executor costs nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what jobs leave to each other, from ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without one (tests)
-    gets a folder of its own.
+    Only a local session without one (tests) gets a folder of its own; on a cluster a folder of
+    one machine would not be seen by the others.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="shelfmark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder, so that a lost executor costs nothing."""
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        set_by_session = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(set_by_session or tempfile.mkdtemp(prefix="shelfmark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -84,3 +84,14 @@ def test_expectations_sum_to_one_segmentation():
 def test_long_text():
     text = ", ".join(f"item {chr(97 + i % 26)}" for i in range(20_000))
     assert len(model().viterbi(text)) == 20_000
+
+
+def test_any_number_of_atoms_may_join():
+    assert model().viterbi("E471/E472/E473/E475/E476, salt") == ["E471/E472/E473/E475/E476", "salt"]
+    assert model().viterbi("a/b/c/d, e") == ["a/b/c/d", "e"]
+
+
+def test_unmatched_brackets():
+    assert model().viterbi("a (b, c, d (e), f, g") == ["a (b", "c", "d (e)", "f", "g"]
+    assert len(model().viterbi("(" * 3000 + "a, b")) == 2 and model().viterbi("a), b") == ["a)", "b"]
+    assert model().viterbi("a (b [c, d), e") == ["a (b [c", "d)", "e"]
