@@ -9,13 +9,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .config import SiteRules
-from .operators import articles, enrich, entities, extract, index, lookups, stats
+from .operators import articles, catalog, enrich, entities, extract, index, lookups, stats
 from .plans import compile as search
 from .session import ship
 from .sources import readers, sinks
 
-SEARCH_FIELDS = ("name", "description", "highlights", "ingredients")
-
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="shelfmark")
@@ -38,7 +36,7 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--mode", choices=("idf", "idf_l2"), default="idf_l2")
     c.add_argument("--topk", type=int, default=10)
     c.add_argument("terms", nargs="+")
-    command("build-fielded-index", products="folder of products", out="folder of the fielded index")
+    command("build-fielded-index", products="folder of enriched products", out="folder of the fielded index")
     c = command("search", index="folder of the fielded index")
     c.add_argument("--field")
     c.add_argument("--topk", type=int, default=10)
@@ -76,20 +74,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "build-index":
         from .functions.text import doc_text
 
-        built = index.build(readers.products(spark, a.products), "product_id", doc_text("name", "brand", "category", "description", F.array_join("ingredients", " ")))
-        sinks.write_index(built.tables(), a.out)
+        index.write(readers.products(spark, a.products), "product_id", doc_text("name", "brand", "category", "description", F.array_join("ingredients", " ")), a.out)
     elif a.command == "query":
-        built = index.TfIdfIndex(**sinks.read_index(spark, a.index, ["postings", "terms", "docs"]))
-        hits = index.search(built, " ".join(a.terms), a.mode, a.topk)
+        hits = index.search(index.read(spark, a.index), " ".join(a.terms), a.mode, a.topk)
         index.with_metadata(hits, readers.products(spark, a.products).select("product_id", "name", "brand", "price"), "product_id").orderBy("rank").show(a.topk, False)
     elif a.command == "build-fielded-index":
-        p = readers.products(spark, a.products)
-        text = {"name": F.col("name"), "description": F.col("description"), "highlights": F.col("highlights"), "ingredients": F.array_join("ingredients", " ")}
-        stored = {c: F.col(c) for c in ("name", "brand", "category", "price_currency", "price_num")}
-        sinks.write_index(search.build(p, "product_id", text, stored).tables(), a.out)
+        catalog.write(readers.enriched_products(spark, a.products), a.out)
     elif a.command == "search":
-        built = search.FieldedIndex(**sinks.read_index(spark, a.index, ["postings", "terms", "fields", "catalog"]))
-        search.search_products(built, " ".join(a.terms), SEARCH_FIELDS, a.topk, a.field, not a.no_fuzzy).show(a.topk, False)
+        search.search_products(search.read(spark, a.index), " ".join(a.terms), catalog.SEARCH_FIELDS, a.topk, a.field, not a.no_fuzzy).show(a.topk, False)
     elif a.command == "stats":
         stats.storage(spark.read.parquet(a.pages)).show(truncate=False)
     elif a.command == "test":

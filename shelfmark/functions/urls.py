@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,8 +22,21 @@ def normalize(url: Column) -> Column:
     return F.when(root != "", F.concat(F.lower(root), path))
 
 
+def without_dots(url: Column) -> Column:
+    """``.`` and ``..`` segments of an address's path resolved; ``..`` at the root goes nowhere."""
+    root = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    tail = F.regexp_extract(url, r"([?#].*)$", 1)
+    path = F.substr(url, F.length(root) + 1, F.length(url) - F.length(root) - F.length(tail))
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    text = F.array().cast("array<string>")
+    kept = F.aggregate(parts, text, lambda a, p: F.when(p == ".", a).when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p))))
+    # A path that ends in such a segment is a folder.
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"/\.\.?(/|$)") & (root != ""), F.concat(root, F.lit("/"), F.array_join(kept, "/"), tail)).otherwise(url)
+
+
 def resolve(base: Column, link: Column) -> Column:
-    """``link`` as an absolute, normalised address seen from ``base`` (``..`` segments are left as they are; see ``resolve_exact``)."""
+    """``link`` as an absolute, normalised address seen from ``base``. Links with a host of their own keep their segments as they are."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
     page = F.regexp_extract(base, r"^([^?#]*)", 1)
@@ -32,25 +44,14 @@ def resolve(base: Column, link: Column) -> Column:
     full = (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("/"), without_dots(F.concat(root, link)))
         .when(link.startswith("?"), F.concat(page, link))
         .when(link.startswith("#") | (link == ""), base)
-        .otherwise(F.concat(folder, link))
+        .otherwise(without_dots(F.concat(folder, link)))
     )
     return normalize(full)
 
 
-def resolve_exact(base: Column, link: Column) -> Column:
-    """As ``resolve``, with ``.`` and ``..`` segments resolved (an Arrow batch goes to Python)."""
-
-    def join(bases: pd.Series, found: pd.Series) -> pd.Series:
-        from urllib.parse import urljoin
-
-        return pd.Series([urljoin(b, x) if b is not None and x is not None else None for b, x in zip(bases, found)])
-
-    return normalize(F.pandas_udf(join, "string")(base, link))
-
-
 def in_scope(url: Column, pattern: str) -> Column:
     """Whether an address lies in the crawl's scope (an anchored, case-insensitive pattern)."""
     return url.rlike(f"(?i)^(?:{pattern})")

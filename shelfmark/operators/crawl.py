@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +45,14 @@ def step(frontier: DataFrame, pages: DataFrame, seen: DataFrame, scope: str | No
     return records, fresh
 
 
-def crawl(root: str, pages: DataFrame, scope: str | None = None, max_pages: int | None = None, max_depth: int = 50) -> DataFrame:
-    """Visit records of a whole breadth-first crawl over stored pages. Each level is checkpointed, so a lost executor repeats one level at most."""
+def crawl(root: str, pages: DataFrame, scope: str | None = None, max_pages: int | None = None, max_depth: int | None = None) -> DataFrame:
+    """Visit records of a whole breadth-first crawl over stored pages, to any depth unless one is given. Each level is checkpointed, so a lost executor repeats one level at most."""
     spark = pages.sparkSession
     frontier = spark.createDataFrame([(root, 0, None)], "url string, depth int, referrer string")
     seen = frontier.select("url").where("false")
     out: DataFrame | None = None
     left = max_pages
-    for _ in range(max_depth + 1):
+    for depth in itertools.count():
         records, fresh = step(frontier, pages, seen, scope, left)
         records = checkpointed(records)
         fresh = checkpointed(fresh.join(records.select("url"), "url", "left_anti"))
@@ -60,7 +62,7 @@ def crawl(root: str, pages: DataFrame, scope: str | None = None, max_pages: int
             left -= records.count()
             if left <= 0:
                 break
-        if fresh.isEmpty():
+        if depth == max_depth or fresh.isEmpty():
             break
         frontier = fresh
     return out

@@ -123,6 +123,48 @@ def terms(text: str) -> Iterator[Term]:
         yield Term(value, money, divides)
 
 
+def canonical(value: Fraction, unit: Unit) -> Fraction:
+    """A value in the canonical unit of its dimension."""
+    return value * unit.scale + unit.offset
+
+
+def quotient(value: Fraction, unit: Unit, per: Fraction, by: Unit) -> tuple[tuple[int, ...], Fraction] | None:
+    """(exponents, canonical value) of one quantity by another: vectors subtract; None by nothing, or where a unit has a zero of its own."""
+    below = per * by.scale
+    if below <= 0 or unit.offset or by.offset:
+        return None
+    return tuple(a - b for a, b in zip(unit.exponents, by.exponents)), value * unit.scale / below
+
+
+def convert(text: str, to: str) -> Fraction | None:
+    """The first quantity of a text in another unit of its dimension (``350 °F`` to ``°c``); None if there is none."""
+    target = UNITS[to.lower()]
+    for t in terms(text):
+        if t.value is not None and t.unit is not None and not t.divides and t.unit.exponents == target.exponents:
+            return (canonical(t.value, t.unit) - target.offset) / target.scale
+    return None
+
+
+def _by(a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
+    return tuple(x - y for x, y in zip(a, b))
+
+
+#: Common units by dimension: name, and how many of them one canonical unit is.
+COMMON = {
+    _by(ENERGY, MASS): ("kj_per_100", Fraction(100)), _by(ENERGY, VOLUME): ("kj_per_100", Fraction(100)),
+    _by(MONEY, MASS): ("p_per_kg", Fraction(1000)), _by(MONEY, VOLUME): ("p_per_l", Fraction(1000)), _by(MONEY, COUNT): ("p_each", Fraction(1)),
+}
+
+
+def common(value: Fraction, unit: Unit, per: Fraction, by: Unit) -> tuple[str, int] | None:
+    """A quotient in the common unit of its dimension, halves rounded up; None if its dimension has none."""
+    got = quotient(value, unit, per, by)
+    if got is None or got[0] not in COMMON:
+        return None
+    name, factor = COMMON[got[0]]
+    return name, round_half_up(got[1] * factor)
+
+
 def round_half_up(x: Fraction) -> int:
     return (2 * x.numerator + x.denominator) // (2 * x.denominator)
 
@@ -132,7 +174,7 @@ def energy_per_100(energy: str | None, description: str | None) -> int | None:
     if not energy:
         return None
     joule = calorie = bare = None
-    portion = Fraction(100)
+    portion, by = Fraction(100), UNITS["g"]
     for t in terms(energy):
         if t.unit is not None and t.unit.exponents == ENERGY and t.value is not None:
             if t.unit.scale == Fraction("4.184"):
@@ -140,43 +182,40 @@ def energy_per_100(energy: str | None, description: str | None) -> int | None:
             else:
                 joule = t if joule is None else joule
         elif t.unit is not None and t.unit.exponents in (MASS, VOLUME) and t.divides:
-            portion = (t.value if t.value is not None else Fraction(1)) * t.unit.scale
+            portion, by = t.value if t.value is not None else Fraction(1), t.unit
         elif t.unit is None and t.value is not None and not t.divides:
             bare = t if bare is None else bare
     found = joule or calorie
     if found is not None:
-        kj = found.value * found.unit.scale
+        value, unit = found.value, found.unit
     elif bare is not None and description:
         named = _NAMED.search(description) or _ANY_ENERGY.search(description)
         if named is None:
             return None
-        kj = bare.value * UNITS[named["unit"].lower()].scale
+        value, unit = bare.value, UNITS[named["unit"].lower()]
         for t in terms(description[named.start() : named.end() + 16]):
             if t.divides and t.unit is not None and t.unit.exponents in (MASS, VOLUME):
-                portion = (t.value if t.value is not None else Fraction(1)) * t.unit.scale
+                portion, by = t.value if t.value is not None else Fraction(1), t.unit
     else:
         return None
-    return round_half_up(kj * 100 / portion) if portion > 0 else None
+    got = common(value, unit, portion, by)
+    return got[1] if got else None
 
 
-def _amount(text: str | None) -> tuple[str, Fraction] | None:
-    """A price's denominator, as (common unit, canonical units in it); a bare count means items; a unit in doubt (``unit?``) is none."""
+def _amount(text: str | None) -> tuple[Fraction, Unit] | None:
+    """A price's denominator; a bare count means items; a unit in doubt (``unit?``) is none."""
     if not text or "?" in text:
         return None
     for t in terms(text):
         if t.unit is None and t.value is not None:
-            return ("p_each", t.value) if t.value > 0 else None
+            return (t.value, UNITS["each"]) if t.value > 0 else None
         if t.unit is None:
             continue
-        size = (t.value if t.value is not None else Fraction(1)) * t.unit.scale
-        if size <= 0:
+        value = t.value if t.value is not None else Fraction(1)
+        if value <= 0:
             return None
-        if t.unit.exponents == MASS:
-            return "p_per_kg", size / 1000
-        if t.unit.exponents == VOLUME:
-            return "p_per_l", size / 1000
-        if t.unit.exponents == COUNT:
-            return "p_each", size
+        if _by(MONEY, t.unit.exponents) in COMMON:
+            return value, t.unit
     return None
 
 
@@ -185,18 +224,18 @@ def unit_price(price: str | None, unit: str | None, *texts: str | None) -> tuple
     if not price:
         return None
     head, sep, tail = re.sub(r"\bper\b", "/", price, flags=re.I).partition("/")
-    pence = None
+    money = None
     for t in terms(head):
         if t.value is not None and (t.unit is None or t.unit.exponents == MONEY):
-            pence = t.value * (t.unit.scale if t.unit is not None else 100)
+            money = t.value, t.unit or UNITS["£"]
             break
-    if pence is None:
+    if money is None:
         return None
     amount = _amount(unit) or (_amount(tail) if sep else None)
     for text in texts if amount is None else ():
         for m in _PRICED.finditer(text or ""):
             amount = amount or _amount(m["unit"])
-    return (amount[0], round_half_up(pence / amount[1])) if amount else None
+    return common(*money, *amount) if amount else None
 
 
 _ROW = "array<struct<field:string,common_unit:string,common_value:bigint>>"

@@ -1,49 +1,86 @@
 """Query trees to DataFrame plans over a fielded positional index.
 
-All word clauses of a tree become one small table that is joined to the postings once; one
-aggregation by document then yields, for every clause, whether it matched and its score.
-Phrases read positions of the same pruned postings; ranges and keywords read the
-catalogue. The Boolean logic is an expression over the clauses' flags.
+The dictionary is read first, once for all word clauses: exact words by pruned look-up, fuzzy
+words in one pass. What it gives is small (at most ``expansions`` words a field and clause) and
+becomes a local table that is joined to the pruned postings; one aggregation by document
+then yields, for every clause, whether it matched and its score. Phrases read positions of the
+same pruned postings; ranges and keywords read the catalogue. The Boolean logic is an expression
+over the clauses' flags.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources import sinks
 from .ast import Bool, Fuzzy, Keyword, Leaves, Node, Phrase, Range, Term
 
 #: Parameters of the ranking function.
 K1, B = 1.2, 0.75
 
 
+#: Rows of the local table of weighed words; a query that needs more is refused.
+MOST_WORDS = 500_000
+
+
 @dataclass(frozen=True)
 class FieldedIndex:
-    postings: DataFrame  # field, term, doc_id, tf, dl, positions
-    terms: DataFrame  # field, term, df
+    postings: DataFrame  # field, term, doc_id, tf, dl, positions; written ones also bucket
+    terms: DataFrame  # field, term, df; written ones also bucket
     fields: DataFrame  # field, doc_count, sum_tf
     catalog: DataFrame  # doc_id and stored columns
 
-    def tables(self) -> dict[str, DataFrame]:
-        return {"postings": self.postings, "terms": self.terms, "fields": self.fields, "catalog": self.catalog}
+    @functools.cached_property
+    def statistics(self) -> dict[str, tuple[int, int]]:
+        """(documents, words) by field; read once, a row per field."""
+        return {r["field"]: (r["doc_count"], r["sum_tf"]) for r in self.fields.collect()}
+
+
+def _postings(df: DataFrame, id_col: str, text: dict[str, Column], keywords: dict[str, Column]) -> DataFrame:
+    each = [F.struct(F.lit(n).alias("field"), tx.analyze(c).alias("tokens")) for n, c in text.items()]
+    each += [F.struct(F.lit(n).alias("field"), F.when(F.length(c) > 0, F.array(F.lower(c))).otherwise(F.array().cast("array<string>")).alias("tokens")) for n, c in keywords.items()]
+    tokens = df.select(F.col(id_col).alias("doc_id"), F.explode(F.array(*each)).alias("f")).select("doc_id", "f.field", "f.tokens")
+    placed = tokens.select("field", "doc_id", F.size("tokens").cast("bigint").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
+    return placed.groupBy("field", "term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+
 
+def _terms(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("field", "term").agg(F.count("*").alias("df"))
 
-def build(df: DataFrame, id_col: str, text: dict[str, Column], stored: dict[str, Column]) -> FieldedIndex:
-    """Index of unique documents: analysed text fields with positions, and stored columns for ranges, keywords and display.
+
+def _fields(postings: DataFrame) -> DataFrame:
+    by = postings.groupBy("field", "doc_id").agg(F.sum("tf").alias("dl"))
+    return by.groupBy("field").agg(F.count("*").alias("doc_count"), F.sum("dl").alias("sum_tf"))
+
+
+def build(df: DataFrame, id_col: str, text: dict[str, Column], stored: dict[str, Column], keywords: dict[str, Column] | None = None) -> FieldedIndex:
+    """Index of unique documents: analysed text fields with positions, keyword fields of one lower-case token, and stored columns for ranges, keywords and display.
 
     Postings carry the length of their field, so that a query joins nothing but its own words.
     """
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("field"), tx.analyze(c).alias("tokens")) for n, c in text.items())))
-    tokens = df.select(F.col(id_col).alias("doc_id"), each.alias("f")).select("doc_id", "f.field", "f.tokens").where("size(tokens) > 0")
-    length = F.size("tokens").cast("bigint").alias("dl")
-    placed = tokens.select("field", "doc_id", length, F.posexplode("tokens").alias("pos", "term"))
-    postings = placed.groupBy("field", "term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    terms = tokens.select("field", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("field", "term").agg(F.count("*").alias("df"))
-    fields = tokens.select("field", length).groupBy("field").agg(F.count("*").alias("doc_count"), F.sum("dl").alias("sum_tf"))
-    return FieldedIndex(postings, terms, fields, df.select(F.col(id_col).alias("doc_id"), *(c.alias(n) for n, c in stored.items())))
+    postings = _postings(df, id_col, text, keywords or {})
+    return FieldedIndex(postings, _terms(postings), _fields(postings), df.select(F.col(id_col).alias("doc_id"), *(c.alias(n) for n, c in stored.items())))
+
+
+def write(df: DataFrame, id_col: str, text: dict[str, Column], stored: dict[str, Column], path: str, keywords: dict[str, Column] | None = None) -> None:
+    """The index as tables under ``path``; texts are analysed once, dictionary and statistics come from the written postings."""
+    spark = df.sparkSession
+    sinks.write_by_term(_postings(df, id_col, text, keywords or {}), f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    sinks.write_by_term(_terms(postings), f"{path}/terms")
+    sinks.write_table(_fields(postings).coalesce(1), f"{path}/fields")  # a row per field
+    sinks.write_by_document(df.select(F.col(id_col).alias("doc_id"), *(c.alias(n) for n, c in stored.items())), f"{path}/catalog")
+
+
+def read(spark: SparkSession, path: str) -> FieldedIndex:
+    return FieldedIndex(**sinks.read_index(spark, path, ["postings", "terms", "fields", "catalog"]))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -54,17 +91,52 @@ def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def expansions(index: FieldedIndex, node: Fuzzy) -> DataFrame:
-    """``(field, term, df, boost)`` of the words near ``node.text``: per field the nearest, at most ``node.expansions``; boost falls with the distance."""
-    lo, hi = len(node.text) - node.edits, len(node.text) + node.edits
-    words = index.terms.where(F.length("term").between(lo, hi))
-    if node.fields:
-        words = words.where(F.col("field").isin(*node.fields))
-    d = F.levenshtein(F.col("term"), F.lit(node.text), node.edits)
-    near = words.withColumn("d", d).where(f"d between 0 and {node.edits}")
-    n = F.row_number().over(Window.partitionBy("field").orderBy("d", "term"))
-    boost = 1.0 - F.col("d") / F.least(F.length("term"), F.lit(len(node.text)))
-    return near.withColumn("n", n).where(F.col("n") <= node.expansions).select("field", "term", "df", boost.alias("boost"))
+def _swapped(word: str) -> list[str]:
+    """The word with two neighbours swapped, in every way that changes it."""
+    return sorted({word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)} - {word})
+
+
+def edits(term: Column, word: str, most: int) -> Column:
+    """Damerau-Levenshtein distance of ``term`` and ``word`` up to ``most`` (0 to 2), null beyond; a swap of neighbours is one edit.
+
+    A distance of 2 that plain steps do not reach has a swap in the one or the other word, beside one more edit.
+    """
+    plain = F.levenshtein(term, F.lit(word), 2 * most)
+    once = _swapped(word)
+    out = F.when(plain.between(0, min(1, most)), plain)
+    if most and once:
+        out = out.when(term.isin(once), 1)
+    if most == 2:
+        out = out.when(plain == 2, 2)
+        twice = sorted({v for w in once for v in _swapped(w)})
+        if once:
+            # Only distances of 3 and 4 can shrink by swaps.
+            near = term.isin(twice)
+            for w in once:
+                near = near | F.levenshtein(term, F.lit(w), 1).between(0, 1)
+            places = F.sequence(F.lit(1), F.greatest(F.length(term) - 1, F.lit(1)))
+            swap = lambda i: F.concat(F.substring(term, F.lit(1), i - 1), F.substring(term, i + 1, F.lit(1)), F.substring(term, i, F.lit(1)), F.substr(term, i + 2))
+            near = near | F.exists(places, lambda i: F.levenshtein(swap(i), F.lit(word), 1).between(0, 1))
+            out = out.when(plain.between(3, 4) & near, 2)
+    return out
+
+
+def expansions(index: FieldedIndex, nodes: list[tuple[int, Fuzzy]]) -> DataFrame:
+    """``(clause, field, term, df, boost)`` of the words near those of fuzzy clauses, by one pass over the dictionary.
+
+    Per clause and field the nearest, at most ``node.expansions``; boost falls with the distance.
+    """
+    found = []
+    for clause, node in nodes:
+        n = len(node.text)
+        here = F.length("term").between(n - node.edits, n + node.edits)
+        if node.fields:
+            here = here & F.col("field").isin(*node.fields)
+        d = F.when(here, edits(F.col("term"), node.text, node.edits))
+        found.append(F.when(d.isNotNull(), F.struct(F.lit(clause).alias("clause"), d.alias("d"), F.lit(node.expansions).alias("most"), (1.0 - d / F.least(F.length("term"), F.lit(n))).alias("boost"))))
+    near = index.terms.select("field", "term", "df", F.explode(F.array_compact(F.array(*found))).alias("e")).select("field", "term", "df", "e.*")
+    n = F.row_number().over(Window.partitionBy("clause", "field").orderBy("d", "term"))
+    return near.withColumn("n", n).where("n <= most").select("clause", "field", "term", "df", "boost")
 
 
 def phrase_frequency(words: tuple[str, ...], positions: dict[str, Column], slop: int) -> Column:
@@ -112,33 +184,43 @@ class Compiler:
             return ("bool", [self.collect(n) for n in node.must], [self.collect(n) for n in node.should], [self.collect(n) for n in node.must_not])
         return ("leaf", self.leaves.add(node))
 
+    def words(self) -> dict[str, list]:
+        """Columns clause, field, term, weight and avgdl of all words that word clauses ask for and the dictionary holds."""
+        rows: list[tuple[int, str, str, int, float]] = []
+        exact = [(i, n) for i, n in enumerate(self.leaves.nodes) if isinstance(n, Term)]
+        if exact:
+            known: dict[tuple[str, str], int] = {}
+            for r in sinks.holding(self.index.terms, [n.text for _, n in exact]).select("field", "term", "df").collect():  # at most a row per asked word and field
+                known[r["field"], r["term"]] = r["df"]
+            rows += [(i, f, n.text, known[f, n.text], float(n.boost)) for i, n in exact for f in self.fields_of(n) if (f, n.text) in known]
+        fuzzy = [(i, Fuzzy(n.text, self.fields_of(n), n.edits, n.expansions)) for i, n in enumerate(self.leaves.nodes) if isinstance(n, Fuzzy)]
+        if sum(n.expansions * len(n.fields) for _, n in fuzzy) + len(rows) > MOST_WORDS:
+            raise ValueError(f"a query holds at most {MOST_WORDS} words")
+        if fuzzy:
+            rows += [tuple(r) for r in expansions(self.index, fuzzy).collect()]
+        out: dict[str, list] = {c: [] for c in ("clause", "field", "term", "weight", "avgdl")}
+        for clause, field, term, df, boost in rows:
+            docs, words = self.index.statistics[field]
+            for c, v in zip(out, (clause, field, term, boost * math.log(1 + (docs - df + 0.5) / (df + 0.5)), words / docs)):
+                out[c].append(v)
+        return out
+
     def word_hits(self) -> DataFrame | None:
-        """``(clause, doc_id, score)`` of all word clauses, by one join to the postings."""
-        fixed = [(i, f, n.text, float(n.boost)) for i, n in enumerate(self.leaves.nodes) if isinstance(n, Term) for f in self.fields_of(n)]
-        wanted = None
-        if fixed:
-            asked = self.spark.createDataFrame(fixed, "clause int, field string, term string, boost double")
-            known = self.index.terms.where(F.col("term").isin(*{t for _, _, t, _ in fixed}))
-            wanted = known.join(F.broadcast(asked), ["field", "term"]).select("clause", "field", "term", "df", "boost")
-        for i, n in enumerate(self.leaves.nodes):
-            if isinstance(n, Fuzzy):
-                near = expansions(self.index, Fuzzy(n.text, self.fields_of(n), n.edits, n.expansions)).select(F.lit(i).alias("clause"), "field", "term", "df", "boost")
-                wanted = near if wanted is None else wanted.unionByName(near)
-        if wanted is None:
+        """``(doc_id, clause, score)`` of every posting of the word clauses, not yet summed up."""
+        if not any(isinstance(n, Term | Fuzzy) for n in self.leaves.nodes):
             return None
-        posted = self.index.postings.select("field", "term", "doc_id", "tf", "dl")
-        if fixed and not any(isinstance(n, Fuzzy) for n in self.leaves.nodes):
-            posted = posted.where(F.col("term").isin(*{t for _, _, t, _ in fixed}))  # reaches the scan
-        weighed = wanted.join(F.broadcast(self.index.fields), "field")  # a row per field
-        weighed = weighed.select("clause", "field", "term", (F.col("boost") * idf(F.col("doc_count"), F.col("df"))).alias("weight"), (F.col("sum_tf") / F.col("doc_count")).alias("avgdl"))
-        hits = posted.join(F.broadcast(weighed), ["field", "term"])  # at most 50 words a field and clause
-        return hits.groupBy("clause", "doc_id").agg(F.sum(F.col("weight") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
+        words = self.words()
+        schema = pa.schema([("clause", pa.int32()), ("field", pa.string()), ("term", pa.string()), ("weight", pa.float64()), ("avgdl", pa.float64())])
+        weighed = self.spark.createDataFrame(pa.table(words, schema=schema))  # at most MOST_WORDS rows
+        posted = sinks.holding(self.index.postings, words["term"]).where(F.col("field").isin(sorted(set(words["field"])))).select("field", "term", "doc_id", "tf", "dl")
+        score = F.col("weight") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
+        return posted.join(F.broadcast(weighed), ["field", "term"]).select("clause", "doc_id", score.alias("score"))
 
     def phrase_hits(self, clause: int, node: Phrase) -> DataFrame:
         fields = self.fields_of(node)
         words = list(dict.fromkeys(node.words))
-        posted = self.index.postings.where(F.col("term").isin(*words) & F.col("field").isin(*fields))
-        df = self.index.terms.where(F.col("term").isin(*words) & F.col("field").isin(*fields)).join(F.broadcast(self.index.fields), "field")
+        posted = sinks.holding(self.index.postings, words).where(F.col("field").isin(*fields))
+        df = sinks.holding(self.index.terms, words).where(F.col("field").isin(*fields)).join(F.broadcast(self.index.fields), "field")  # a row per field
         idfs = df.withColumn("i", idf(F.col("doc_count"), F.col("df"))).groupBy("field", "doc_count", "sum_tf").pivot("term", words).agg(F.first("i"))
         weight = F.lit(0.0)
         for w in node.words:
@@ -172,8 +254,9 @@ class Compiler:
         hits = parts[0]
         for p in parts[1:]:
             hits = hits.unionByName(p)
-        clauses = range(len(self.leaves.nodes))
-        per = hits.groupBy("doc_id").agg(*(F.max(F.when(F.col("clause") == i, F.col("score"))).alias(f"s{i}") for i in clauses))
+        if tree[0] == "leaf" or not tree[1] and not tree[3] and all(t[0] == "leaf" for t in tree[2]):  # any of the clauses: their sum
+            return hits.groupBy("doc_id").agg(F.sum("score").alias("score"))
+        per = hits.groupBy("doc_id").agg(*(F.sum(F.when(F.col("clause") == i, F.col("score"))).alias(f"s{i}") for i in range(len(self.leaves.nodes))))
         matched, score = self.logic(tree)
         return per.where(matched).select("doc_id", score.alias("score"))
 
@@ -208,8 +291,11 @@ def search(index: FieldedIndex, node: Node | None, fields: tuple[str, ...], k: i
 
 
 def search_products(index: FieldedIndex, query: str, fields: tuple[str, ...], k: int = 10, field: str | None = None, fuzzy: bool = True, show: tuple[str, ...] = ("name", "brand", "category", "price_num")) -> DataFrame:
-    """Free-text search with stored columns: ``score`` and ``show``, best first."""
+    """Free-text search with stored columns: ``score`` and ``show``, best first. The ``k`` best are found first, so that only their rows of the catalogue are read."""
     from .parser import free_text
 
     node = free_text(query, (field,) if field else fields, fuzzy)
-    return search(index, node, fields, k).join(index.catalog, "doc_id").select("doc_id", "score", *show).orderBy(F.desc("score"), "doc_id")
+    best = search(index, node, fields, k).toArrow()  # k rows
+    ids = best.column("doc_id").to_pylist()
+    hits = index.catalog.sparkSession.createDataFrame(best) if ids else index.catalog.where("false").select("doc_id", F.lit(0.0).alias("score"))
+    return F.broadcast(hits).join(index.catalog.where(F.col("doc_id").isin(ids)), "doc_id").select("doc_id", "score", *show).orderBy(F.desc("score"), "doc_id")

@@ -11,7 +11,7 @@ from .config import BLOCKED, SiteRules
 from .functions import text as tx
 from .functions import urls, wiki
 from .operators import articles as art
-from .operators import crawl, enrich, entities, extract, index, lookups, packed, stats, units
+from .operators import catalog, crawl, enrich, entities, extract, index, lookups, packed, stats, units
 from .plans import ast
 from .plans import compile as search
 from .plans import parser
@@ -110,10 +110,7 @@ FIELDS = ("name", "description", "highlights", "ingredients")
 
 
 def _fielded(spark: SparkSession, d: str) -> search.FieldedIndex:
-    p = table(spark, d, "unit_tests")
-    text = {"name": F.col("name"), "description": F.col("description"), "highlights": F.col("highlights"), "ingredients": F.array_join("ingredients", " ")}
-    stored = {"name": F.col("name"), "brand": F.col("brand"), "category": F.col("category"), "price_num": F.expr("nullif(try_cast(price AS double), 0)"), "n_ingredients": F.coalesce(F.size("ingredients"), F.lit(0))}
-    return search.build(p, "product_id", text, stored)
+    return catalog.build(_enriched(spark, d))
 
 
 _BM25 = f"""
@@ -181,12 +178,12 @@ def search_total_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NEAR = """SELECT field, term, lv FROM (SELECT field, term, lv, row_number() OVER (PARTITION BY field ORDER BY lv, term) AS n
-FROM (SELECT DISTINCT field, term, levenshtein(term, 'choclate') AS lv FROM pst) WHERE lv <= 2) WHERE n <= 50"""
+FROM (SELECT DISTINCT field, term, damerau_levenshtein(term, 'choclate') AS lv FROM pst) WHERE lv <= 2) WHERE n <= 50"""
 
 
 @query(_BM25 + f"SELECT field, term, round(1.0::double - lv::double / least(length(term), 8), 6) AS boost FROM ({_NEAR})")
 def search_fuzzy_expansions(spark: SparkSession, d: str) -> DataFrame:
-    near = search.expansions(_fielded(spark, d), ast.Fuzzy("choclate", FIELDS))
+    near = search.expansions(_fielded(spark, d), [(0, ast.Fuzzy("choclate", FIELDS))])
     return near.select("field", "term", F.round("boost", 6).alias("boost"))
 
 
@@ -234,11 +231,6 @@ def search_phrase_slop(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, parser.parse('"source fibre"~2', FIELDS), None)
 
 
-@query()
-def search_products(spark: SparkSession, d: str) -> DataFrame:
-    return search.search_products(_fielded(spark, d), "strawbery yoghurt", FIELDS)
-
-
 # Pages to products.
 
 _RULES = SiteRules()
@@ -336,7 +328,7 @@ def page_ids(spark: SparkSession, d: str) -> DataFrame:
 _URL_NORM = """CASE WHEN regexp_extract(b, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?]*)', 1) <> '' THEN lower(regexp_extract(b, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?]*)', 1)) ||
   CASE WHEN rest = '' OR rest[1] = '?' THEN '/' || rest ELSE rest END END"""
 _PAGES = """pages AS (SELECT DISTINCT m.url, h.html FROM (SELECT DISTINCT url, content_path FROM crawl_meta WHERE content_path IS NOT NULL) m JOIN html_to_products h ON m.content_path = h.source_file),
-one AS (SELECT url, min(html) AS html FROM pages GROUP BY url)"""
+one AS (SELECT url, html FROM (SELECT m.url, min(m.content_path) AS content_path FROM crawl_meta m WHERE m.content_path IN (SELECT source_file FROM html_to_products) GROUP BY m.url) k JOIN (SELECT DISTINCT source_file, html FROM html_to_products) h ON k.content_path = h.source_file)"""
 _LINKS = f"""
 WITH {_PAGES},
 l0 AS (SELECT url AS referrer, regexp_extract_all(html, {q(urls.HREF)}, 1) AS ls FROM one),
@@ -351,10 +343,10 @@ links AS (SELECT referrer, cast(pos AS integer) AS pos, {_URL_NORM} AS url FROM
 
 
 def _stored_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages with the address under which they were fetched (one page per address)."""
-    meta = table(spark, d, "crawl_meta").where("content_path is not null").select("url", "content_path").distinct()
+    """Pages with the address under which they were fetched: one page per address (the first stored name). The name is chosen before any text is moved."""
     pages = table(spark, d, "html_to_products").select("source_file", "html")
-    return meta.join(pages, F.col("content_path") == F.col("source_file")).groupBy("url").agg(F.min("html").alias("html"))
+    meta = table(spark, d, "crawl_meta").select("url", F.col("content_path").alias("source_file")).join(pages.select("source_file"), "source_file", "left_semi")
+    return meta.groupBy("url").agg(F.min("source_file").alias("source_file")).join(pages.dropDuplicates(["source_file"]), "source_file").select("url", "html")
 
 
 @query(_LINKS + "SELECT * FROM links WHERE url IS NOT NULL")
@@ -548,6 +540,45 @@ def enriched_products(spark: SparkSession, d: str) -> DataFrame:
     return _enriched(spark, d).select("product_id", F.col("brand_wiki.wiki_id").alias("brand_wiki_id"), "wiki_enrichment.*")
 
 
+# The default search: two misspelt words over eleven fields of the enriched products.
+_FIELD_SQL = {
+    "name": "u.name", "description": "u.description", "ingredients": "array_to_string(u.ingredients, ' ')", "highlights": "u.highlights", "brand": "u.brand", "category": "u.category", "brand_description": "bl.wiki_description",
+    "ingredient_wiki_names": "g.names", "ingredient_descriptions": "g.descriptions", "brand_introduced": "bl.introduced", "brand_origin": "bl.origin",
+}
+_DEFAULT = (
+    _ENT + _LOOK
+    + """, g AS (SELECT product_id, string_agg(il.ingredient, ' ') FILTER (il.ingredient <> '') AS names, string_agg(il.wiki_description, ' ') FILTER (il.wiki_description <> '') AS descriptions
+FROM (SELECT product_id, unnest(ingredients) AS ingredient FROM unit_tests) x JOIN il USING (ingredient) GROUP BY product_id),
+src AS (SELECT u.product_id AS doc_id, unnest([""" + ", ".join(q(f) for f in _FIELD_SQL) + "]) AS field, unnest([" + ", ".join(_FIELD_SQL.values())
+    + """]) AS txt FROM unit_tests u LEFT JOIN bl ON u.brand = bl.brand LEFT JOIN g ON u.product_id = g.product_id),
+tk AS (SELECT doc_id, field, CASE WHEN field IN ('brand', 'category', 'brand_introduced', 'brand_origin') THEN CASE WHEN txt <> '' THEN [lower(txt)] ELSE [] END
+  ELSE regexp_extract_all(lower(txt), '[\\p{L}\\p{N}]+(?:[''’.][\\p{L}\\p{N}]+)*') END AS toks FROM src WHERE txt IS NOT NULL),
+pst AS (SELECT field, term, doc_id, count(*) AS tf FROM (SELECT doc_id, field, unnest(toks) AS term FROM tk) GROUP BY ALL),
+ln_ AS (SELECT field, doc_id, len(toks) AS dl FROM tk WHERE len(toks) > 0),
+fs AS (SELECT field, count(*) AS doc_count, sum(dl) AS sum_tf FROM ln_ GROUP BY field),
+dt AS (SELECT DISTINCT field, term FROM pst), asked AS (SELECT * FROM (VALUES (0, 'strawbery'), (1, 'yoghrut')) AS v(clause, word)),
+nr AS (SELECT clause, field, term, 1.0::double - lv::double / least(length(term), length(word)) AS boost FROM (SELECT *, row_number() OVER (PARTITION BY clause, field ORDER BY lv, term) AS n
+  FROM (SELECT clause, word, field, term, damerau_levenshtein(term, word) AS lv FROM dt, asked WHERE abs(length(term) - length(word)) <= 2) WHERE lv <= 2) WHERE n <= 50)"""
+)
+
+
+@query(
+    _DEFAULT + _hits_sql("SELECT * FROM nr")
+    + """, top AS (SELECT doc_id, round(sum(score), 6) AS score FROM h GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10)
+SELECT doc_id, score, name, brand, category, nullif(try_cast(price AS double), 0) AS price_num FROM top JOIN unit_tests ON doc_id = product_id"""
+)
+def search_products(spark: SparkSession, d: str) -> DataFrame:
+    return search.search_products(_fielded(spark, d), "strawbery yoghrut", catalog.SEARCH_FIELDS)
+
+
+@query(_ENRICH + "SELECT product_id AS doc_id, cast(has_brand_wiki AS integer) AS has_brand_wiki, ingredients_wiki_count, cast(allergen_count AS integer) AS allergen_count, cast(sweetener_count AS integer) AS sweetener_count, "
+       "cast(carcinogen_count AS integer) AS carcinogen_count, total_wiki_matches, ingredients_wiki_count > 0 AS has_json FROM en")
+def catalog_points(spark: SparkSession, d: str) -> DataFrame:
+    """Count points of the fielded index, and whether facts are stored as JSON."""
+    c = _fielded(spark, d).catalog
+    return c.select("doc_id", "has_brand_wiki", "ingredients_wiki_count", "allergen_count", "sweetener_count", "carcinogen_count", "total_wiki_matches", F.col("ingredients_wiki_json").isNotNull().alias("has_json"))
+
+
 @query(
     _ENRICH
     + """SELECT count(*) AS products, count(*) FILTER (has_brand_wiki) AS with_brand, count(*) FILTER (ingredients_wiki_count > 0) AS with_ingredients, round(avg(ingredients_wiki_count), 6) AS avg_ingredients,

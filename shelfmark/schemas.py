@@ -18,3 +18,9 @@ GOLDEN = (
     "name STRING, brand STRING, price_currency STRING, price STRING, ingredients ARRAY<STRING>, category STRING, description STRING, nutrition_table MAP<STRING,STRING>, "
     "unit_bundle STRUCT<price:STRING,unit:STRING>, highlights STRING, source_file STRING, product_id BIGINT"
 )
+_FACTS = "wiki_id: BIGINT, wiki_title: STRING, wiki_url: STRING, description: STRING"
+ENRICHED = (
+    PRODUCT + f", brand_wiki STRUCT<{_FACTS}, introduced: STRING, origin: STRING, website: STRING, infobox_type: STRING, categories: ARRAY<STRING>>, "
+    f"ingredients_wiki ARRAY<STRUCT<name: STRING, {_FACTS}, type: STRING, categories: ARRAY<STRING>, is_sweetener: BOOLEAN, is_allergen: BOOLEAN, is_carcinogenic: BOOLEAN>>, "
+    "wiki_enrichment STRUCT<has_brand_wiki: BOOLEAN, ingredients_wiki_count: INT, sweetener_count: BIGINT, allergen_count: BIGINT, carcinogen_count: BIGINT, total_wiki_matches: INT>"
+)

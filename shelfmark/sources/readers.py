@@ -31,6 +31,10 @@ def products(spark: SparkSession, path: str) -> DataFrame:
     return records(spark, path, schemas.PRODUCT)
 
 
+def enriched_products(spark: SparkSession, path: str) -> DataFrame:
+    return records(spark, path, schemas.ENRICHED)
+
+
 def golden_records(spark: SparkSession, path: str) -> DataFrame:
     return records(spark, path, schemas.GOLDEN)
 
@@ -47,6 +51,15 @@ def line_log(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("url != ''").distinct()
 
 
+def push_log(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct non-blank lines of an append-only log in the order of their first line (files by name), as ``(url, at)`` with ``at`` from 1."""
+    from ..operators.extract import with_serial
+
+    lines = spark.read.text(path).select(F.trim("value").alias("url"), F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("line"))
+    first = lines.where("url != ''").groupBy("url").agg(F.min("line").alias("line")).select("url", "line.*")
+    return with_serial(first, ["file_path", "file_block_start", "n"], "at").select("url", "at")
+
+
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:
     """``(path, length)`` of every file, contents unread."""
     return spark.read.format("binaryFile").load(path).select("path", "length")

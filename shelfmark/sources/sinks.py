@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,12 @@ def merge_parts(spark: SparkSession, source: str, path: str) -> None:
     spark.read.text(source).where("trim(value) <> ''").repartition(1).write.mode("overwrite").text(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def output_megabytes(spark: SparkSession, path: str) -> float:
     """Size of an output folder, from the file system's summary."""
     jvm = spark.sparkContext._jvm
@@ -42,12 +50,36 @@ def output_megabytes(spark: SparkSession, path: str) -> float:
     return round(fs.getContentSummary(p).getLength() / (1024 * 1024), 2)
 
 
-def write_index(index: dict[str, DataFrame], path: str) -> None:
-    """Index tables as Parquet; rows sorted by term within files, so that a scan for few terms skips row groups."""
-    for name, df in index.items():
-        keys = [c for c in ("term", "doc_id") if c in df.columns]
-        out = df.sortWithinPartitions(*keys) if "term" in keys else df
-        out.write.mode("overwrite").parquet(f"{path}/{name}")
+#: Folders that the rows of an index table are spread over, by a checksum of their term.
+BUCKETS = 64
+
+
+def bucket_of(term: str) -> int:
+    """The folder that holds a term."""
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def write_by_term(df: DataFrame, path: str) -> None:
+    """An index table in folders by term, sorted within files: a query for few terms opens their folders only, and skips row groups there.
+
+    Ranges are cut by document too, so that the postings of a frequent term are spread over several tasks.
+    """
+    keys = ["bucket", *(c for c in ("term", "field", "doc_id") if c in df.columns)]
+    out = df.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int"))
+    n = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def write_by_document(df: DataFrame, path: str) -> None:
+    """An index table in ranges of documents, so that a look-up of few documents skips row groups."""
+    df.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(path)
+
+
+def holding(df: DataFrame, terms: list[str]) -> DataFrame:
+    """The rows of these terms; tables in folders by term are pruned to the folders that hold them."""
+    terms = sorted(set(terms))
+    out = df.where(F.col("term").isin(terms))
+    return out.where(F.col("bucket").isin(sorted({bucket_of(t) for t in terms}))) if "bucket" in df.columns else out
 
 
 def read_index(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:

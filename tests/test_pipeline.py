@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark import cli, schemas
+from shelfmark.functions import urls
 from shelfmark.operators import articles, crawl, enrich, entities, extract, lookups, stats
 from shelfmark.sources import readers, sinks
 
@@ -134,7 +135,7 @@ def test_files_and_command_line(spark, tmp_path, capsys):
     assert spark.read.json(en).where("allergen_count = 1").count() == 1
     cli.main(["build-index", "--products", out, "--out", ix], spark)
     cli.main(["query", "--index", ix, "--products", out, "--mode", "idf", "bar"], spark)
-    cli.main(["build-fielded-index", "--products", out, "--out", fx], spark)
+    cli.main(["build-fielded-index", "--products", en, "--out", fx], spark)
     cli.main(["search", "--index", fx, "mlk"], spark)
     golden = tmp_path / "golden.json"
     golden.write_text(json.dumps({"name": "x", "source_file": "y"}))
@@ -144,6 +145,21 @@ def test_files_and_command_line(spark, tmp_path, capsys):
     assert "Bar & Co" in capsys.readouterr().out
 
 
+def test_push_log_keeps_its_order(spark, tmp_path):
+    (tmp_path / "log1.txt").write_text("http://b/\nhttp://a/\n\nhttp://b/\n")
+    (tmp_path / "log2.txt").write_text("http://c/\nhttp://a/\n")
+    assert [r["url"] for r in readers.push_log(spark, str(tmp_path)).orderBy("at").collect()] == ["http://b/", "http://a/", "http://c/"]
+
+
+def test_dots_in_addresses(spark):
+    from urllib.parse import urljoin
+
+    links = ["../x", "./y", "../../../z?q=../a", "a/../b", "..", ".", "/p/./q/../r", "//h/a/../b", "x/.hidden/..name", "?a=1"]
+    df = spark.createDataFrame([("http://s/a/b/c", x) for x in links], "base string, link string")
+    got = {r["link"]: r["u"] for r in df.select("link", urls.resolve(F.col("base"), F.col("link")).alias("u")).collect()}
+    assert got == {x: urljoin("http://s/a/b/c", x) for x in links}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "b")], "a int, b string")
     sinks.write_records(df, str(tmp_path / "r"))

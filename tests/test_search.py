@@ -112,3 +112,23 @@ def test_tfidf_against_brute_force(spark, mode):
         index.search(built, "x", "other")
     meta = spark.createDataFrame([(1, "m")], "id long, label string")
     assert [(r["doc_id"], r["rank"]) for r in index.with_metadata(index.search(built, "cat"), meta, "id").collect()] == [(1, 1)]
+
+
+def test_edits_against_brute_force(spark):
+    import itertools
+
+    def distance(a, b):
+        """Fewest single steps (drop, add, change, swap neighbours), by breadth-first search."""
+        level = {a}
+        for n in range(3):
+            if b in level:
+                return n
+            level |= {w for x in level for i in range(len(x) + 1) for w in (x[:i] + x[i + 1 :], *(x[:i] + c + x[i:] for c in "abc"), *(x[:i] + c + x[i + 1 :] for c in "abc"), x[:i] + x[i + 1 : i + 2] + x[i : i + 1] + x[i + 2 :])}
+        return 3
+
+    words = ["".join(w) for n in range(1, 5) for w in itertools.product("abc", repeat=n)]
+    df = spark.createDataFrame([(w,) for w in words], "term string")
+    for word in ("abca", "ab", "aabb", "cba"):
+        for most in (0, 1, 2):
+            got = {r["term"]: r["d"] for r in df.select("term", search.edits(F.col("term"), word, most).alias("d")).collect()}
+            assert got == {w: (d if (d := distance(w, word)) <= most else None) for w in words}

@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -57,3 +59,10 @@ def test_table(spark):
     got = units.common_quantities(df, "product_id", "energy", "price", "unit")
     assert sorted(map(tuple, got.collect())) == [(1, "energy", "kj_per_100", 100)] * 2 + [(1, "unit_price", "p_per_kg", 100)] * 2 + [(4, "energy", "kj_per_100", 209), (4, "unit_price", "p_per_l", 200)]
     assert units.common_quantities(df.limit(0), "product_id", "energy", "price", "unit").count() == 0
+
+
+def test_offsets_and_dimensions():
+    assert units.convert("Bake at 350 °F", "°c") == Fraction(1590, 9) and units.convert("0 °C", "°f") == 32 and units.convert("1.5 l", "ml") == 1500 and units.convert("5 g", "ml") is None
+    kj, g, c = units.UNITS["kj"], units.UNITS["g"], units.UNITS["°c"]
+    assert units.common(Fraction(4), kj, Fraction(2), g) == ("kj_per_100", 200) and units.common(Fraction(4), g, Fraction(2), kj) is None
+    assert units.quotient(Fraction(1), c, Fraction(1), g) is None and units.quotient(Fraction(1), kj, Fraction(0), g) is None
