@@ -35,21 +35,36 @@ def without_dots(url: Column) -> Column:
     return F.when(path.rlike(r"/\.\.?(/|$)") & (root != ""), F.concat(root, F.lit("/"), F.array_join(kept, "/"), tail)).otherwise(url)
 
 
-def resolve(base: Column, link: Column) -> Column:
-    """``link`` as an absolute, normalised address seen from ``base``. Links with a host of their own keep their segments as they are."""
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def base_parts(base: Column) -> Column:
+    """What links are resolved against: ``(url, root, scheme, page, folder)`` of a page's address."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
     page = F.regexp_extract(base, r"^([^?#]*)", 1)
     folder = F.when(page == root, F.concat(root, F.lit("/"))).otherwise(F.regexp_extract(page, r"^(.*/)", 1))
+    return F.struct(base.alias("url"), root.alias("root"), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1).alias("scheme"), page.alias("page"), folder.alias("folder"))
+
+
+def resolve_with(parts: Column, link: Column) -> Column:
+    """As ``resolve``, given the ``base_parts`` of the page."""
+    dotted = lambda u: F.when(link.contains("/.") | link.startswith("."), let(u, without_dots)).otherwise(u)
     full = (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
-        .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), without_dots(F.concat(root, link)))
-        .when(link.startswith("?"), F.concat(page, link))
-        .when(link.startswith("#") | (link == ""), base)
-        .otherwise(without_dots(F.concat(folder, link)))
+        .when(link.startswith("//"), F.concat(parts["scheme"], link))
+        .when(link.startswith("/"), dotted(F.concat(parts["root"], link)))
+        .when(link.startswith("?"), F.concat(parts["page"], link))
+        .when(link.startswith("#") | (link == ""), parts["url"])
+        .otherwise(dotted(F.concat(parts["folder"], link)))
     )
-    return normalize(full)
+    return let(full, normalize)
+
+
+def resolve(base: Column, link: Column) -> Column:
+    """``link`` as an absolute, normalised address seen from ``base``. Links with a host of their own keep their segments as they are."""
+    return let(base_parts(base), lambda parts: resolve_with(parts, link))
 
 
 def in_scope(url: Column, pattern: str) -> Column:

@@ -14,8 +14,8 @@ from ..session import checkpointed
 
 def outlinks(pages: DataFrame, url: str = "url", html: str = "html", scope: str | None = None) -> DataFrame:
     """``(referrer, pos, url)``: absolute, normalised links of every page, in page order; links out of scope are dropped."""
-    found = pages.select(F.col(url).alias("referrer"), F.posexplode(urls.links(F.col(html))).alias("pos", "link"))
-    out = found.select("referrer", "pos", urls.resolve(F.col("referrer"), F.col("link")).alias("url")).where("url is not null")
+    found = pages.select(urls.base_parts(F.col(url)).alias("base"), F.posexplode(urls.links(F.col(html))).alias("pos", "link"))
+    out = found.select(F.col("base.url").alias("referrer"), "pos", urls.resolve_with(F.col("base"), F.col("link")).alias("url")).where("url is not null")
     return out.where(urls.in_scope(F.col("url"), scope)) if scope else out
 
 

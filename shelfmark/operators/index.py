@@ -17,7 +17,7 @@ from ..sources import sinks
 @dataclass(frozen=True)
 class TfIdfIndex:
     postings: DataFrame  # term, doc_id, tf; written ones also l2 (of the document) and bucket
-    terms: DataFrame  # term, n0, total_tf; written ones also bucket
+    terms: DataFrame  # term, n0, total_tf
     docs: DataFrame  # doc_id, doc_len, l2
 
     @functools.cached_property
@@ -64,11 +64,11 @@ def write(df: DataFrame, id_col: str, text: Column, path: str) -> None:
     spark = df.sparkSession
     sinks.write_table(postings(document_terms(df, id_col, text)), f"{path}/_draft")
     posted = spark.read.parquet(f"{path}/_draft")
-    sinks.write_by_term(terms(posted), f"{path}/terms")
-    dictionary = spark.read.parquet(f"{path}/terms").drop("bucket")
+    sinks.write_sorted(terms(posted), ["term"], f"{path}/terms")
+    dictionary = spark.read.parquet(f"{path}/terms")
     lengths = posted.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
     docs = df.select(F.col(id_col).alias("doc_id")).join(lengths, "doc_id", "left").join(norms(posted, dictionary, df.count()), "doc_id", "left")
-    sinks.write_by_document(docs.na.fill(0, ["doc_len"]).na.fill(0.0, ["l2"]), f"{path}/docs")
+    sinks.write_sorted(docs.na.fill(0, ["doc_len"]).na.fill(0.0, ["l2"]), ["doc_id"], f"{path}/docs")
     sinks.write_by_term(posted.join(spark.read.parquet(f"{path}/docs").select("doc_id", "l2"), "doc_id"), f"{path}/postings")
     sinks.remove(spark, f"{path}/_draft")
 

@@ -15,7 +15,7 @@ import math
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -33,7 +33,7 @@ MOST_WORDS = 500_000
 @dataclass(frozen=True)
 class FieldedIndex:
     postings: DataFrame  # field, term, doc_id, tf, dl, positions; written ones also bucket
-    terms: DataFrame  # field, term, df; written ones also bucket
+    terms: DataFrame  # field, term, df
     fields: DataFrame  # field, doc_count, sum_tf
     catalog: DataFrame  # doc_id and stored columns
 
@@ -74,9 +74,9 @@ def write(df: DataFrame, id_col: str, text: dict[str, Column], stored: dict[str,
     spark = df.sparkSession
     sinks.write_by_term(_postings(df, id_col, text, keywords or {}), f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
-    sinks.write_by_term(_terms(postings), f"{path}/terms")
+    sinks.write_sorted(_terms(postings), ["term", "field"], f"{path}/terms")
     sinks.write_table(_fields(postings).coalesce(1), f"{path}/fields")  # a row per field
-    sinks.write_by_document(df.select(F.col(id_col).alias("doc_id"), *(c.alias(n) for n, c in stored.items())), f"{path}/catalog")
+    sinks.write_sorted(df.select(F.col(id_col).alias("doc_id"), *(c.alias(n) for n, c in stored.items())), ["doc_id"], f"{path}/catalog")
 
 
 def read(spark: SparkSession, path: str) -> FieldedIndex:
@@ -96,29 +96,30 @@ def _swapped(word: str) -> list[str]:
     return sorted({word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)} - {word})
 
 
-def edits(term: Column, word: str, most: int) -> Column:
-    """Damerau-Levenshtein distance of ``term`` and ``word`` up to ``most`` (0 to 2), null beyond; a swap of neighbours is one edit.
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    A distance of 2 that plain steps do not reach has a swap in the one or the other word, beside one more edit.
+
+def edits(term: str, word: str, most: int) -> str:
+    """An SQL expression (one text is planned faster than many nested columns): the Damerau-Levenshtein distance of column ``term`` and ``word`` up to ``most`` (0 to 2), null beyond.
+
+    A swap of neighbours is one edit. A distance of 2 that plain steps do not reach has a swap in the one or the other word, beside one more edit.
     """
-    plain = F.levenshtein(term, F.lit(word), 2 * most)
-    once = _swapped(word)
-    out = F.when(plain.between(0, min(1, most)), plain)
-    if most and once:
-        out = out.when(term.isin(once), 1)
+    once = _swapped(word) if most else []
+    twice = sorted({v for w in once for v in _swapped(w)})
+    listed = lambda ws: f"array({', '.join(map(_literal, ws))})"
+    cases = [f"WHEN p BETWEEN 0 AND {min(1, most)} THEN p"]
+    if once:
+        cases.append(f"WHEN array_contains({listed(once)}, {term}) THEN 1")
     if most == 2:
-        out = out.when(plain == 2, 2)
-        twice = sorted({v for w in once for v in _swapped(w)})
-        if once:
-            # Only distances of 3 and 4 can shrink by swaps.
-            near = term.isin(twice)
-            for w in once:
-                near = near | F.levenshtein(term, F.lit(w), 1).between(0, 1)
-            places = F.sequence(F.lit(1), F.greatest(F.length(term) - 1, F.lit(1)))
-            swap = lambda i: F.concat(F.substring(term, F.lit(1), i - 1), F.substring(term, i + 1, F.lit(1)), F.substring(term, i, F.lit(1)), F.substr(term, i + 2))
-            near = near | F.exists(places, lambda i: F.levenshtein(swap(i), F.lit(word), 1).between(0, 1))
-            out = out.when(plain.between(3, 4) & near, 2)
-    return out
+        cases.append("WHEN p = 2 THEN 2")
+    if most == 2 and once:  # only distances of 3 and 4 can shrink by swaps
+        swap = f"concat(substring({term}, 1, i - 1), substring({term}, i + 1, 1), substring({term}, i, 1), substring({term}, i + 2))"
+        near = [f"array_contains({listed(twice)}, {term})"] if twice else []
+        near.append(f"exists({listed(once)}, w -> levenshtein({term}, w, 1) BETWEEN 0 AND 1)")
+        near.append(f"exists(sequence(1, greatest(length({term}) - 1, 1)), i -> levenshtein({swap}, {_literal(word)}, 1) BETWEEN 0 AND 1)")
+        cases.append(f"WHEN p BETWEEN 3 AND 4 AND ({' OR '.join(near)}) THEN 2")
+    return f"element_at(transform(array(levenshtein({term}, {_literal(word)}, {2 * most})), p -> CASE {' '.join(cases)} END), 1)"
 
 
 def expansions(index: FieldedIndex, nodes: list[tuple[int, Fuzzy]]) -> DataFrame:
@@ -129,14 +130,13 @@ def expansions(index: FieldedIndex, nodes: list[tuple[int, Fuzzy]]) -> DataFrame
     found = []
     for clause, node in nodes:
         n = len(node.text)
-        here = F.length("term").between(n - node.edits, n + node.edits)
+        here = f"length(term) BETWEEN {n - node.edits} AND {n + node.edits}"
         if node.fields:
-            here = here & F.col("field").isin(*node.fields)
-        d = F.when(here, edits(F.col("term"), node.text, node.edits))
-        found.append(F.when(d.isNotNull(), F.struct(F.lit(clause).alias("clause"), d.alias("d"), F.lit(node.expansions).alias("most"), (1.0 - d / F.least(F.length("term"), F.lit(n))).alias("boost"))))
-    near = index.terms.select("field", "term", "df", F.explode(F.array_compact(F.array(*found))).alias("e")).select("field", "term", "df", "e.*")
-    n = F.row_number().over(Window.partitionBy("clause", "field").orderBy("d", "term"))
-    return near.withColumn("n", n).where("n <= most").select("clause", "field", "term", "df", "boost")
+            here += f" AND field IN ({', '.join(map(_literal, node.fields))})"
+        found.append(f"named_struct('clause', {clause}, 'length', {n}, 'most', {node.expansions}, 'd', CASE WHEN {here} THEN {edits('term', node.text, node.edits)} END)")
+    near = index.terms.selectExpr("field", "term", "df", f"inline(array({', '.join(found)}))").where("d IS NOT NULL")
+    near = near.selectExpr("*", "row_number() OVER (PARTITION BY clause, field ORDER BY d, term) AS n").where("n <= most")
+    return near.selectExpr("clause", "field", "term", "df", "1.0D - d / least(length(term), length) AS boost")
 
 
 def phrase_frequency(words: tuple[str, ...], positions: dict[str, Column], slop: int) -> Column:
@@ -298,4 +298,4 @@ def search_products(index: FieldedIndex, query: str, fields: tuple[str, ...], k:
     best = search(index, node, fields, k).toArrow()  # k rows
     ids = best.column("doc_id").to_pylist()
     hits = index.catalog.sparkSession.createDataFrame(best) if ids else index.catalog.where("false").select("doc_id", F.lit(0.0).alias("score"))
-    return F.broadcast(hits).join(index.catalog.where(F.col("doc_id").isin(ids)), "doc_id").select("doc_id", "score", *show).orderBy(F.desc("score"), "doc_id")
+    return F.broadcast(hits).join(index.catalog.where(F.col("doc_id").isin(ids)), "doc_id").select("doc_id", "score", *show).orderBy(F.desc("score"), "doc_id").limit(k)

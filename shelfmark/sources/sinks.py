@@ -51,7 +51,7 @@ def output_megabytes(spark: SparkSession, path: str) -> float:
 
 
 #: Folders that the rows of an index table are spread over, by a checksum of their term.
-BUCKETS = 64
+BUCKETS = 32
 
 
 def bucket_of(term: str) -> int:
@@ -70,9 +70,9 @@ def write_by_term(df: DataFrame, path: str) -> None:
     out.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def write_by_document(df: DataFrame, path: str) -> None:
-    """An index table in ranges of documents, so that a look-up of few documents skips row groups."""
-    df.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(path)
+def write_sorted(df: DataFrame, keys: list[str], path: str) -> None:
+    """An index table in ranges of its keys, sorted within files: a look-up of few keys skips files and row groups by their bounds."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
 def holding(df: DataFrame, terms: list[str]) -> DataFrame:
