@@ -36,7 +36,7 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    widest = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
+    widest = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return df if size >= cores * widest else df.repartition(cores)
 
 

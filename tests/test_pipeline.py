@@ -179,3 +179,14 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"x": 1, "y": 2}')
     (tmp_path / "d.json").write_text('{"y": 3}')
     assert readers.config(str(tmp_path / "c.json"), str(tmp_path / "d.json")) == {"x": 1, "y": 3}
+
+
+def test_small_scans_are_spread(spark, tmp_path):
+    from shelfmark.session import spread
+
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("16m", "134217728b", "1g"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        assert spread(spark.read.parquet(str(tmp_path / "t"))).count() == 10
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
