@@ -138,3 +138,15 @@ def test_a_notice_rarer_than_shards_is_covered(spark, monkeypatch):
     for r in boilerplate.main_body(df).orderBy("line_no").collect():
         got.setdefault(r["source_file"], []).append(r["line"])
     assert len(got) == 120 and all(got[f"g{i}"] == [f"How to {i}", f"Unique words number{i} alpha{i * 7} here.", f"Tips {i}", f"More unique words beta{i * 13}."] for i in range(120))
+
+
+def test_a_section_of_its_own_stays_on_hosts_of_any_size(spark):
+    section = "<h3>Zutaten</h3><div><p>Roggen and malt nobody else has.</p></div><p>A lone line of the first page.</p><h3>Nutrition"
+    sizes = (2, 5, 29, 30, 40)
+    rows = [(f"{n}/{i}", product(i, ad=AD).replace("shop.example", f"shop{n}.example").replace("<h3>Nutrition", section if i == 0 else "<h3>Nutrition")) for n in sizes for i in range(n)]
+    got = {}
+    for r in boilerplate.main_body(spark.createDataFrame(rows, "source_file string, html string")).orderBy("line_no").collect():
+        got.setdefault(r["source_file"], []).append(r["line"])
+    first = ["Item 0", "£0.50", "£0/kg", "Highlights", "Good & neat", "Small", "Ingredients", "Salt, x0", "Zutaten", "Roggen and malt nobody else has.", "A lone line of the first page.", "Nutrition", "Fat", "0g"]
+    assert [got[f"{n}/0"] for n in sizes] == [first] * len(sizes)
+    assert all(len(got[f"{n}/{i}"]) == 11 for n in sizes for i in range(1, n))
